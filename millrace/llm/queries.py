@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm import leaks
 from millrace.llm import near_duplicates as nd
 from millrace.session import table
 
@@ -29,3 +30,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return nd.duplicate_groups(table(spark, sf, "grounded"))
+
+
+@query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf, "grounded"), table(spark, sf, "eval_items"))
