@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import leaks
+from pyspark.sql import functions as F
+
+from millrace.llm import languages, leaks, sampling, splitting
 from millrace.llm import near_duplicates as nd
 from millrace.session import table
 
@@ -35,3 +37,51 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "grounded"), table(spark, sf, "eval_items"))
+
+
+_NUMBER = " + ".join(f"(strpos('0123456789abcdefghijklmnopqrstuvwxyz', substr(lpad(split_part(id, ':', -1), 6, '0'), {k + 1}, 1)) - 1) * {36 ** (5 - k)}" for k in range(6))
+SAMPLE_RATE = 0.1
+
+
+@query(f"SELECT id, place FROM ({sampling.permuted_sql('number', f'SELECT DISTINCT id, CAST({_NUMBER} AS BIGINT) AS number FROM grounded WHERE id IS NOT NULL')}) WHERE place < {int(SAMPLE_RATE * sampling.DOMAIN)}")
+def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Chosen ids with their place in the permuted domain."""
+    return sampling.stable_sample(table(spark, sf, "grounded").select("id"), SAMPLE_RATE, place_col="place").distinct()
+
+
+@query(
+    f"""WITH chosen AS ({sampling.permuted_sql('number', f'SELECT DISTINCT id, CAST({_NUMBER} AS BIGINT) AS number FROM grounded WHERE id IS NOT NULL')}),
+    first AS (SELECT id, min(batch_no) AS batch_no FROM grounded GROUP BY id)
+    SELECT f.batch_no, count(*) AS arrived, count(*) FILTER (c.place < {int(SAMPLE_RATE * sampling.DOMAIN)}) AS chosen FROM first f JOIN chosen c USING (id) GROUP BY f.batch_no"""
+)
+def p3_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids first seen with each batch, and how many of them the sample holds for good."""
+    first = table(spark, sf, "grounded").groupBy("id").agg(F.min("batch_no").alias("batch_no")).where("id IS NOT NULL")
+    place = sampling.permuted(sampling.number_of(F.col("id")))
+    return first.groupBy("batch_no").agg(F.count("*").alias("arrived"), F.count_if(place < int(SAMPLE_RATE * sampling.DOMAIN)).alias("chosen"))
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf, "grounded"))
+
+
+@query()
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.pieces(table(spark, sf, "grounded")).drop("version")
+
+
+def _language_model(spark: SparkSession, sf: str) -> languages.Model:
+    """Fitted on labelled whole rows of both tables, at most 300 a language."""
+    labelled = [table(spark, sf, t).select("text", languages.label_code(F.col("lang")).alias("code")) for t in ("documents", "grounded")]
+    return languages.fit(labelled[0].union(labelled[1]))
+
+
+@query()
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.label_issues(table(spark, sf, "grounded"), _language_model(spark, sf))
+
+
+@query()
+def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.detect(table(spark, sf, "grounded"), _language_model(spark, sf)).drop("stored").distinct()
