@@ -41,12 +41,21 @@ def number_of(id_col: Column) -> Column:
 
 
 def permuted(number: Column, seed: int = 17, rounds: int = 8) -> Column:
-    """Feistel permutation of [0, 2**62)."""
-    left, right = F.shiftright(number, HALF), number.bitwiseAND(F.lit(MASK))
-    for key in round_keys(seed, rounds):
-        mixed = F.shiftright((right.bitwiseXOR(F.lit(key))) * F.lit(MULTIPLIER) + F.lit(key), 16)
-        left, right = right, left.bitwiseXOR(mixed.bitwiseXOR(F.shiftright(mixed, 13))).bitwiseAND(F.lit(MASK))
-    return F.shiftleft(left, HALF) + right
+    """Feistel permutation of [0, 2**62): a fold over the round keys, so each half is evaluated once a round."""
+
+    def turn(acc: Column, key: Column) -> Column:
+        left, right = acc["l"], acc["r"]
+        # what each round mixes is below 2**46
+        mixed = F.shiftright(right.bitwiseXOR(key) * F.lit(MULTIPLIER) + key, 16)
+        return F.aggregate(
+            F.array(mixed),
+            F.struct(right.alias("l"), right.alias("r")),
+            lambda _, m: F.struct(right.alias("l"), left.bitwiseXOR(m.bitwiseXOR(F.shiftright(m, 13))).bitwiseAND(F.lit(MASK)).alias("r")),
+        )
+
+    keys = F.array(*[F.lit(k).cast("long") for k in round_keys(seed, rounds)])
+    start = F.struct(F.shiftright(number, HALF).alias("l"), number.bitwiseAND(F.lit(MASK)).alias("r"))
+    return F.aggregate(keys, start, turn, lambda acc: F.shiftleft(acc["l"], HALF) + acc["r"])
 
 
 def permuted_sql(number: str, source: str, seed: int = 17, rounds: int = 8) -> str:
