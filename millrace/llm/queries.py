@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import languages, leaks, sampling, splitting
+from millrace.llm import languages, leaks, mixing, packing, sampling, splitting, token_budget
 from millrace.llm import near_duplicates as nd
 from millrace.session import table
 
@@ -85,3 +85,45 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p6_segments(spark: SparkSession, sf: str) -> DataFrame:
     return languages.detect(table(spark, sf, "grounded"), _language_model(spark, sf)).drop("stored").distinct()
+
+
+def _ledger(spark: SparkSession, sf: str) -> token_budget.TokenLedger:
+    """Budget kept over two deliveries: batches 0 to 8, then the later ones with the re-deliveries among them."""
+    docs = table(spark, sf, "grounded").select("id", "text", "source", "lang", "domain", "batch_no", "fetched_at")
+    ledger = token_budget.TokenLedger(spark)
+    ledger.update(docs.where("batch_no <= 8"))
+    ledger.update(docs.where("batch_no > 8 OR batch_no IS NULL"))
+    return ledger
+
+
+@query()
+def p2_token_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(spark, sf).totals()
+
+
+@query()
+def p2_document_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger(spark, sf).document_tokens()
+
+
+CAPACITY = 2048
+
+
+@query()
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf, "documents"), CAPACITY)
+
+
+@query()
+def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.usage(packing.pack_documents(table(spark, sf, "documents"), CAPACITY), CAPACITY)
+
+
+@query()
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+@query()
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
