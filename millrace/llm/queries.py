@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from millrace.llm import languages, leaks, mixing, packing, sampling, splitting, token_budget
+from millrace.llm import languages, leaks, mixing, packing, reading_level, sampling, splitting, token_budget
 from millrace.llm import near_duplicates as nd
 from millrace.session import table
 
@@ -127,3 +127,15 @@ def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
+@query()
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    norms = table(spark, sf, "lang_norms")
+    return reading_level.bands(reading_level.reading_levels(table(spark, sf, "documents"), norms), norms)
+
+
+@query()
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    levels = reading_level.reading_levels(table(spark, sf, "documents"), table(spark, sf, "lang_norms"))
+    return reading_level.grades(levels, table(spark, sf, "reading_labels"))
