@@ -1,29 +1,10 @@
-"""Registered queries of the core, with the SQL each is held against."""
+"""All registered queries of the core."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from millrace.plans import corpus, relational, statistics, streams, texts, vectors  # noqa: F401 - they register themselves
+from millrace.plans.registry import ORACLES, QUERIES
 
-from millrace.session import table
+FLAGSHIP = QUERIES["corpus_control_report"]
 
-QUERIES = {}
-ORACLES = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def a1_count_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-
-
-FLAGSHIP = a1_count_by_key
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
