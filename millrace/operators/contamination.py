@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +58,33 @@ def substring_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, anch
     return near.union(short).where(F.contains("dj", F.col("pj"))).select(key, item).distinct()
 
 
+@F.pandas_udf("double")
+def _best_window(words: pd.Series, probe: pd.Series) -> pd.Series:
+    """Largest overlap of the probe's different tokens with a stretch of as many tokens, by one sliding count."""
+    out = []
+    for w, p in zip(words, probe, strict=True):
+        n, target, best = len(p), set(p), 0.0
+        if len(w) >= n and 5 * len(target.intersection(w)) >= len(target):  # far under any threshold otherwise
+            counts: dict[str, int] = {}
+            common = 0
+            for i, x in enumerate(w):
+                c = counts.get(x, 0)
+                counts[x] = c + 1
+                if not c and x in target:
+                    common += 1
+                if i >= n:
+                    y = w[i - n]
+                    if counts[y] == 1:
+                        del counts[y]
+                        common -= y in target
+                    else:
+                        counts[y] -= 1
+                if i >= n - 1:
+                    best = max(best, common / (len(counts) + len(target) - common))
+        out.append(best)
+    return pd.Series(out, dtype="float64")
+
+
 def window_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, threshold: float = 0.6) -> DataFrame:
     """(key, item, jaccard): largest token overlap of the item with a stretch of as many tokens, from ``threshold`` on.
 
@@ -74,11 +102,7 @@ def window_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, thresho
     need = F.ceil(F.size("r") * threshold).cast("int")
     rare = ranked.select(item, F.explode(F.slice("r", F.lit(1), F.size("r") - need + 1)).alias("x")).select(item, F.col("x.t").alias("t"))
     pairs = held.join(small(rare), "t").select(key, item).distinct()
-    both = pairs.join(d, key).join(small(p.select(item, "pw", "ps")), item)
-    # enough of the item's tokens anywhere, before windows are looked at
-    both = both.where(F.size(F.array_intersect("w", "ps")) >= F.size("ps") * threshold)
-    n = F.size("pw")
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("w", i, n), F.col("ps"))) / F.size(F.array_union(F.slice("w", i, n), F.col("ps")))))
-    scored = both.where(F.size("w") >= n).select(key, item, best.alias("best"))
+    probes = small(p.select(item, "pw"))
+    both = pairs.join(d, key).join(probes, item).select(key, item, "w", "pw")
+    scored = both.withColumn("best", _best_window("w", "pw")).select(key, item, "best")
     return scored.where(F.col("best") >= threshold).groupBy(key, item).agg(F.max(F.round("best", 3)).alias("jaccard"))

@@ -61,27 +61,27 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("node", "round_num", "tensor", "idx").agg(F.max("value").alias("value"), F.bool_or("is_float").alias("is_float"))
 
 
-@query(f"SELECT c.round_num, c.tensor, c.idx, round(sum(c.value * w.weight) / sum(w.weight), 6) AS average, count(*) AS nodes FROM ({_CELLS}) c JOIN ({_WEIGHTS}) w ON w.node_id = c.node AND w.round_num = c.round_num GROUP BY 1, 2, 3")
+@query(f"SELECT c.round_num, c.tensor, c.idx, round(sum(c.value * w.weight) / sum(w.weight), 4) AS average, count(*) AS nodes FROM ({_CELLS}) c JOIN ({_WEIGHTS}) w ON w.node_id = c.node AND w.round_num = c.round_num GROUP BY 1, 2, 3")
 def a19_weighted_average(spark: SparkSession, sf: str) -> DataFrame:
     a = K.rounds(table(spark, sf, "contribution_scores").where(N.finite(F.col("quality")).isNotNull()), table(spark, sf, "node_weights"), 0.6, 0.3)
-    return a.select("round_num", "tensor", "idx", F.round("average", 6).alias("average"), "nodes")
+    return a.select("round_num", "tensor", "idx", F.round("average", 4).alias("average"), "nodes")
 
 
-@query(f"SELECT round_num, tensor, idx, round(CASE WHEN bool_or(is_float) THEN avg(value) ELSE arg_min(value, node) END, 6) AS average FROM ({_CELLS}) GROUP BY 1, 2, 3")
+@query(f"SELECT round_num, tensor, idx, round(CASE WHEN bool_or(is_float) THEN avg(value) ELSE arg_min(value, node) END, 4) AS average FROM ({_CELLS}) GROUP BY 1, 2, 3")
 def a20_uniform_average(spark: SparkSession, sf: str) -> DataFrame:
     a = K.uniform_average(_cells(spark, sf), "node", ["round_num", "tensor", "idx"], "value", "is_float")
-    return a.select("round_num", "tensor", "idx", F.round("average", 6).alias("average"))
+    return a.select("round_num", "tensor", "idx", F.round("average", 4).alias("average"))
 
 
 @query(
-    f"""WITH c AS ({_CELLS}), w AS (SELECT node, round_num, count(*) AS m FROM c GROUP BY 1, 2) SELECT c.round_num, c.tensor, c.idx, round(sum(c.value * w.m) / sum(w.m), 6) AS average FROM c JOIN w USING (node, round_num) GROUP BY 1, 2, 3"""
+    f"""WITH c AS ({_CELLS}), w AS (SELECT node, round_num, count(*) AS m FROM c GROUP BY 1, 2) SELECT c.round_num, c.tensor, c.idx, round(sum(c.value * w.m) / sum(w.m), 4) AS average FROM c JOIN w USING (node, round_num) GROUP BY 1, 2, 3"""
 )
 def a21_soup(spark: SparkSession, sf: str) -> DataFrame:
     """Average under weights that are scaled to sum 1 (here: cells a node reported)."""
     c = _cells(spark, sf)
     w = c.groupBy("node", "round_num").agg(F.count("*").alias("weight"))
     a = K.weighted_average(c.drop("is_float"), w, "node", ["tensor", "idx"], "value", group=["round_num"])
-    return a.select("round_num", "tensor", "idx", F.round("average", 6).alias("average"))
+    return a.select("round_num", "tensor", "idx", F.round("average", 4).alias("average"))
 
 
 @query(f"WITH c AS ({_CELLS}) SELECT node, tensor, round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 6) AS norm, count(*) FILTER (a.value IS NULL OR b.value IS NULL) AS unmatched FROM (SELECT * FROM c WHERE round_num = 1) b FULL JOIN (SELECT * FROM c WHERE round_num = 2) a USING (node, tensor, idx) GROUP BY 1, 2")
