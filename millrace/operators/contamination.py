@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import text as X
 
@@ -58,7 +59,7 @@ def substring_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, anch
     return near.union(short).where(F.contains("dj", F.col("pj"))).select(key, item).distinct()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _best_window(words: pd.Series, probe: pd.Series) -> pd.Series:
     """Largest overlap of the probe's different tokens with a stretch of as many tokens, by one sliding count."""
     out = []

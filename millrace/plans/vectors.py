@@ -53,7 +53,7 @@ def a24_max_weight(spark: SparkSession, sf: str) -> DataFrame:
     return _weights(spark, sf).groupBy("round_num").agg(F.round(F.coalesce(F.max("weight"), F.lit(0.0)), 9).alias("max_weight"), F.count("*").alias("accepted"))
 
 
-_CELLS = "SELECT node, round_num, tensor, idx, max(value) AS value, bool_or(is_float) AS is_float FROM node_weights WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3, 4"
+_CELLS = "SELECT node, round_num, tensor, idx, max(value) AS value, bool_or(is_float) AS is_float FROM node_weights WHERE value::VARCHAR <> 'nan' GROUP BY 1, 2, 3, 4"
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +96,7 @@ def a22_delta_norm(spark: SparkSession, sf: str) -> DataFrame:
     q AS (SELECT node, sum(d * d) AS sq FROM d GROUP BY node), p AS (SELECT a.node AS i, b.node AS j, sum(a.d * b.d) AS dot FROM d a JOIN d b ON a.tensor = b.tensor AND a.idx = b.idx AND a.node < b.node GROUP BY 1, 2),
     co AS (SELECT avg(CASE WHEN x.sq > 0 AND y.sq > 0 THEN dot / sqrt(x.sq * y.sq) ELSE 0 END) AS c, sum(dot) AS dots FROM p JOIN q x ON x.node = p.i JOIN q y ON y.node = p.j), n AS (SELECT sum(sq) AS ss, avg(sqrt(sq)) AS mn, count(*) AS n FROM q),
     g AS (SELECT avg(abs(t) / n.n) AS a FROM (SELECT sum(sign(d)) AS t FROM d GROUP BY tensor, idx), n)
-    SELECT round(c, 6) AS mean_cosine, round(a, 6) AS sign_agreement, round(sqrt(greatest(ss + 2 * dots, 0) / (n * n)) / mn, 6) AS retained FROM co, n, g"""
+    SELECT round(coalesce(c, 0), 6) AS mean_cosine, round(a, 6) AS sign_agreement, round(sqrt(greatest(ss + 2 * coalesce(dots, 0), 0) / (n * n)) / mn, 6) AS retained FROM co, n, g"""
 )
 def a23_merge_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     c = _cells(spark, sf)
