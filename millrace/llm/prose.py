@@ -36,7 +36,7 @@ INDENTED = re.compile(r"^(?: {4}|\t)\s*\S*[=(){}\[\];]")
 PIPED = re.compile(r"\s\|\s.*\S|\t\S+\t")
 BULLET = re.compile(r"^\s*[-*+•‣◦]\s")
 INLINE_BULLET = re.compile(r"(?:^|\s{2,}|\n)[-*+•‣◦] ")
-LINE = re.compile(r"\r\n|[\n\r\x0b\f\x85  ]")
+LINE = re.compile(r"\r\n|[\n\r\x0b\f\x85\u2028\u2029]")
 
 #: abbreviations of the corpus languages after which a stop ends no sentence (fixed values)
 ABBREVIATIONS = """

@@ -180,7 +180,8 @@ def fit_levels(measured: DataFrame, norms: dict[str, float], rounds: int = 3, we
         spread = [F.sum(F.when(F.col("level") == g, F.col("m")).otherwise(0)).cast("double") for g in range(len(LEVELS))]
         rows = held.groupBy("item").agg(F.array(*spread).alias("counts")).mapInPandas(word_step, "item long, b double, q double").toPandas()  # at most items x languages
         table = Words(len(codes) + 1)
-        k, w = rows["item"].to_numpy() >> BITS, rows["item"].to_numpy() & ((1 << BITS) - 1)
+        number = rows["item"].to_numpy().astype(np.int64)
+        k, w = number >> BITS, number & ((1 << BITS) - 1)
         table.difficulty[k, w], table.rate[k, w] = rows["b"], rows["q"]
 
     state = spark.sparkContext.broadcast((norm, table))

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 
 from millrace.session import materialise
 
-BREAK = r"\n\r\x0B\f\u0085  "
+BREAK = r"\n\r\x0B\f\u0085\u2028\u2029"
 #: zero-width places before and after a boundary character
 BOUNDARY = rf"(?U)(?<=[{BREAK}])|(?=[{BREAK}])|(?<=[.!?؟…])(?=\s)|(?<=[.!?؟…]\s)"
 
