@@ -37,8 +37,14 @@ def token_count(c: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of ``n`` words joined by blanks; fewer than ``n`` words give none."""
-    count = F.size(words) - (n - 1)
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return bound(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value evaluated once, also where ``use`` names it inside a lambda of its own."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def words_of(c: Column) -> Column:
@@ -52,8 +58,7 @@ def word_count(c: Column) -> Column:
 
 def truncate_words(c: Column, n: int) -> Column:
     """First ``n`` words joined by blanks; a text that is short enough stays as it is."""
-    w = words_of(c)
-    return F.when(F.size(w) <= n, c).otherwise(F.array_join(F.slice(w, 1, n), " "))
+    return bound(words_of(c), lambda w: F.when(F.size(w) <= n, c).otherwise(F.array_join(F.slice(w, 1, n), " ")))
 
 
 def canonical_license(c: Column) -> Column:
@@ -230,9 +235,8 @@ def part_label(key: Column) -> Column:
 
 def byte_tokens(c: Column) -> Column:
     """UTF-8 bytes as numbers."""
-    h = F.hex(F.encode(c, "UTF-8"))
-    n = F.octet_length(c)
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+    pairs = F.filter(F.split(F.hex(F.encode(c, "UTF-8")), "(?<=\\G..)"), lambda x: x != "")
+    return F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int"))
 
 
 def pad_right(xs: Column, width: Column) -> Column:
@@ -241,8 +245,13 @@ def pad_right(xs: Column, width: Column) -> Column:
 
 def windows(xs: Column, width: int) -> Column:
     """Consecutive windows of ``width``; one shorter than 2 is dropped."""
-    starts = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(width))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.slice(xs, i, width)), lambda w: F.size(w) >= 2)
+    none = F.array().cast("array<int>")
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(width))).otherwise(none)
+        return F.filter(F.transform(starts, lambda i: F.slice(w, i, width)), lambda x: F.size(x) >= 2)
+
+    return bound(xs, cut)
 
 
 def messages(user: Column, reasoning: Column, answer: Column, system: Column) -> Column:
