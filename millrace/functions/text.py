@@ -130,6 +130,9 @@ def format_mc(question: Column, options: Column) -> Column:
     return F.concat_ws("\n", F.trim(question), F.lit(""), F.array_join(lines, "\n"))
 
 
+# the patterns below are fixed by the answer formats they read
+
+
 def final_number(c: Column) -> Column:
     """What follows the first ``####``: digits, without thousands commas and a leading dollar sign."""
     v = F.ltrim(F.replace(F.regexp_extract(c, r"####\s*([-$0-9.,]+)", 1), F.lit(","), F.lit("")), F.lit("$"))
@@ -284,3 +287,24 @@ def alpha_ratio(c: Column) -> Column:
 
 def without_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+
+
+#: elements whose content is no text (fixed values)
+SILENT = "script|style|nav|footer|noscript|template|svg"
+
+
+def html_text(c: Column) -> Column:
+    """Text of a page: silent elements and comments go, block ends become line breaks, entities are resolved."""
+    c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
+    c = F.regexp_replace(c, rf"(?is)<({SILENT})\b[^>]*>.*?</\1\s*>", " ")
+    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", "\n")
+    c = F.regexp_replace(c, r"<[^>]*>", " ")
+    for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(mark))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "), r" ?\n ?", "\n"), r"\n{2,}", "\n"))
+
+
+def clean_url(c: Column) -> Column:
+    """Address without fragment and tracking parameters."""
+    c = F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"(?i)([?&])(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*", "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&{2,}", "&"), r"\?&", "?"), r"[?&]+$", "")

@@ -290,3 +290,39 @@ def row_p15_conversations(spark: SparkSession, sf: str) -> DataFrame:
     t = _turns(spark, sf).where("NOT (role = 'system' AND coalesce(trim(text), '') = '')")
     user = F.col("role") == "user"
     return t.groupBy("conv").agg(F.count("*").alias("turns"), F.count_if(user).alias("asked"), F.max(F.when(user, F.length("text"))).alias("longest"), (F.min_by("role", "turn") == "user").alias("opens_with_user"))
+
+
+@query("SELECT count(*) AS kept FROM documents d WHERE d.source = 'hill-notes' AND sha1(d.text) NOT IN (SELECT sha1(text) FROM documents WHERE source = 'harbor-notes' AND text IS NOT NULL)")
+def j22_dedupe_against_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of one source whose text does not stand in another."""
+    d = table(spark, sf, "documents").where("text IS NOT NULL").select("source", F.sha1("text").alias("h"))
+    return R.pending(d.where("source = 'hill-notes'"), d.where("source = 'harbor-notes'"), ["h"]).agg(F.count("*").alias("kept"))
+
+
+@query("SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type = 'click' AND value > 20) WHERE rn = 1")
+def w06_first_after_filter(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").where("event_type = 'click' AND value > 20").select("user_id", "event_id", "value", "ts")
+    return R.first(e, ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "value")
+
+
+@query("SELECT e.item_id, coalesce(nullif(trim(e.axis), ''), e.testset) AS axis, e.lang FROM eval_items e")
+def j21_fill_left(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "eval_items").select("item_id", X.first_present(F.col("axis"), F.col("testset")).alias("axis"), "lang")
+
+
+@query(
+    """WITH n AS (SELECT source, least(count(*), 12) AS want FROM documents WHERE source IS NOT NULL GROUP BY source), b AS (SELECT source, want, ceil(want * 1.15) AS buffer FROM n), r AS (SELECT source, doc_id, length(text) >= 200 AS ok, row_number() OVER (PARTITION BY source ORDER BY sha256('2:' || doc_id)) AS rn FROM documents WHERE source IS NOT NULL),
+    k AS (SELECT r.source, r.doc_id, row_number() OVER (PARTITION BY r.source ORDER BY r.rn) AS place, b.want FROM r JOIN b ON r.source = b.source AND r.rn <= b.buffer WHERE r.ok) SELECT source, doc_id FROM k WHERE place <= want"""
+)
+def l13_oversample_and_trim(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source drawn with a buffer of 15 %, checked, and trimmed to the wanted number."""
+    d = table(spark, sf, "documents").where("source IS NOT NULL")
+    want = d.groupBy("source").agg(F.least(F.count("*"), F.lit(12)).alias("want"))
+    h = X.seeded_order("2", F.col("doc_id"))
+    drawn = R.quota(d.select("source", "doc_id", (F.length("text") >= 200).alias("ok"), h.alias("h")).join(want, "source"), "source", [F.col("h")], F.ceil(F.col("want") * 1.15))
+    return R.quota(drawn.where("ok"), "source", [F.col("h")], F.col("want")).select("source", "doc_id")
+
+
+@query("SELECT id, batch_no, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&])(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*', '\\1', 'g'), '&{2,}', '&', 'g'), '\\?&', '?', 'g'), '[?&]+$', '') AS url FROM grounded WHERE url IS NOT NULL")
+def f43_clean_url(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "grounded").where("url IS NOT NULL").select("id", "batch_no", X.clean_url(F.col("url")).alias("url"))

@@ -239,3 +239,16 @@ def g03_softmax(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
 def g14_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def a45_cube(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query(f"SELECT r.seed, r.arm, round(b.shift - r.shift, 6) AS toward FROM ({_RUNS}) r JOIN ({_RUNS}) b ON r.seed = b.seed AND b.arm = 'view' WHERE r.arm <> 'view'")
+def x04_shift_from_base(spark: SparkSession, sf: str) -> DataFrame:
+    """Each arm against the base arm of its seed."""
+    runs = _runs(spark, sf)
+    base = runs.where("arm = 'view'").select("seed", F.col("shift").alias("base"))
+    return runs.where("arm <> 'view'").join(base, "seed").select("seed", "arm", F.round(F.col("base") - F.col("shift"), 6).alias("toward"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from millrace.functions import numbers as N
 from millrace.functions import survey as V
@@ -191,3 +192,19 @@ def a32_projection_means(spark: SparkSession, sf: str) -> DataFrame:
     p = g.select("country", V.projected(cols, 0).alias("x"), V.projected(cols, 1).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     m = p.groupBy("country").agg(F.count("*").alias("variants"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
     return m.select("country", "variants", F.round("mx", 6).alias("x"), F.round("my", 6).alias("y"), F.round(N.distance(F.col("mx"), F.col("my"), F.lit(1.0), F.lit(1.0)), 6).alias("distance"))
+
+
+_NODES = f"SELECT node, round_num, tensor, avg(value) AS x FROM ({_CELLS}) WHERE is_float GROUP BY 1, 2, 3"
+
+
+@query(
+    f"""WITH n AS ({_NODES}), p AS (SELECT a.round_num, a.node AS i, b.node AS j, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM n a JOIN n b ON a.round_num = b.round_num AND a.tensor = b.tensor AND a.node < b.node GROUP BY 1, 2, 3)
+    SELECT round_num, count(*) AS pairs, round(avg(d), 5) AS separation, round(avg(d) - lag(avg(d)) OVER (ORDER BY round_num), 5) AS change FROM p GROUP BY round_num"""
+)
+def x07_separability(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean distance of every two nodes in each round, and its change from round to round (pairs of nodes, not of rows)."""
+    n = _cells(spark, sf).where("is_float").groupBy("node", "round_num", "tensor").agg(F.avg("value").alias("x"))
+    a, b = n.select("round_num", "tensor", F.col("node").alias("i"), F.col("x").alias("xi")), n.select("round_num", "tensor", F.col("node").alias("j"), F.col("x").alias("xj"))
+    p = a.join(b, ["round_num", "tensor"]).where("i < j").groupBy("round_num", "i", "j").agg(F.sqrt(F.sum((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")))).alias("d"))
+    curve = p.groupBy("round_num").agg(F.count("*").alias("pairs"), F.avg("d").alias("m"))  # one row a round
+    return curve.select("round_num", "pairs", F.round("m", 5).alias("separation"), F.round(F.col("m") - F.lag("m").over(W.orderBy("round_num")), 5).alias("change"))

@@ -92,3 +92,9 @@ def test_projection_golden_values(spark):
 
 def test_redact(spark):
     assert text(spark, X.redact, "mail a.b@c.example from 10.0.0.1 key " + "0f" * 20) == "mail <EMAIL> from <IP> key <SECRET>"
+
+
+def test_html_text(spark):
+    page = "<html><head><style>p{}</style><script>var a = '</p>';</script></head><body><nav>menu</nav><p>One &amp; two<br>three<p>four<b>five</div><!-- no --><footer>x</footer></body>"
+    assert text(spark, X.html_text, page) == "One & two\nthree four five"
+    assert text(spark, X.clean_url, "https://a.example/b?utm_source=x&id=3&gclid=1#top") == "https://a.example/b?id=3"
