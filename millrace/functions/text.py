@@ -42,6 +42,13 @@ def ngrams(words: Column, n: int) -> Column:
     return bound(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """64-bit hash of each run of ``n`` words: a light key to find candidates by."""
+    none = F.array().cast("array<bigint>")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
+    return bound(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
+
+
 def bound(value: Column, use) -> Column:
     """``use(value)`` with the value evaluated once, also where ``use`` names it inside a lambda of its own."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

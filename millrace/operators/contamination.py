@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text as X
+from millrace.session import materialise
 
 #: a side is broadcast only if it has at most so many rows
 BROADCAST_ROWS = 500_000
@@ -31,8 +32,15 @@ def exact_leaks(docs: DataFrame, index: DataFrame, text: str = "text") -> DataFr
 
 
 def gram_leaks(docs: DataFrame, index: DataFrame, key: str, n: int = 13, text: str = "text") -> DataFrame:
-    """(key, overlap): documents with at least one n-gram of the index, and how many different ones."""
-    grams = docs.select(key, F.explode(X.ngrams(X.tokens(F.col(text)), n)).alias("gram"))
+    """(key, overlap): documents with at least one n-gram of the index, and how many different ones.
+
+    Hashes of the n-grams find the documents concerned; only those are compared as text.
+    """
+    words = docs.select(key, X.tokens(F.col(text)).alias("w"))
+    hashes = index.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
+    near = words.select(key, F.explode(X.ngram_hashes(F.col("w"), n)).alias("h")).join(small(hashes), "h", "left_semi").select(key).distinct()
+    near = materialise(near)  # counted and joined below: found once
+    grams = words.join(small(near), key, "left_semi").select(key, F.explode(X.ngrams(F.col("w"), n)).alias("gram"))
     return grams.join(small(index), "gram", "left_semi").groupBy(key).agg(F.countDistinct("gram").alias("overlap"))
 
 
@@ -52,9 +60,9 @@ def substring_leaks(docs: DataFrame, items: DataFrame, key: str, item: str, anch
     """
     d = docs.select(key, X.tokens(F.col("text")).alias("w"))
     p = items.select(item, X.tokens(F.col("text")).alias("pw")).where(F.size("pw") > 0).withColumn("pj", F.array_join("pw", " "))
-    long_ = p.where(F.size("pw") >= anchor + 2).withColumn("gram", F.array_join(F.slice("pw", 2, anchor), " "))
-    grams = d.withColumn("gram", F.explode(X.ngrams(F.col("w"), anchor)))
-    near = grams.join(small(long_.select(item, "pj", "gram")), "gram").select(key, item, "pj", F.array_join("w", " ").alias("dj"))
+    long_ = p.where(F.size("pw") >= anchor + 2).select(item, F.xxhash64(F.slice("pw", 2, anchor)).alias("h"))
+    pairs = d.select(key, F.explode(X.ngram_hashes(F.col("w"), anchor)).alias("h")).join(small(long_), "h").select(key, item).distinct()
+    near = d.join(pairs, key).join(small(p.select(item, "pj")), item).select(key, item, "pj", F.array_join("w", " ").alias("dj"))
     short = d.crossJoin(small(p.where(F.size("pw") < anchor + 2).select(item, "pj"), 1000)).select(key, item, "pj", F.array_join("w", " ").alias("dj"))
     return near.union(short).where(F.contains("dj", F.col("pj"))).select(key, item).distinct()
 
