@@ -49,7 +49,6 @@ tr tp th
 """.split()
 _ABBREVIATED = {a.rpartition(".")[2] for a in ABBREVIATIONS}
 STOP = re.compile(r"[.!?؟…。]+[\"'”’»)\]]*(?=\s|$)")
-BEFORE = re.compile(r"([^\W\d_]+(?:\.\s?[^\W\d_]+)*)$")
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,14 +59,9 @@ def _ends(text: str, m: re.Match) -> bool:
         return not (after[:1].islower() and m.group()[0] in "….")
     if after[:1].islower():
         return False
-    before = BEFORE.search(text, max(0, m.start() - 24), m.start())
-    if not before:
-        return True
-    last = before.group(1).lower().replace(" ", "")
-    tail = last.rpartition(".")[2]
-    if len(tail) == 1 and not tail.isascii():
-        return True
-    if len(tail) == 1 or last in ABBREVIATIONS or tail in _ABBREVIATED:
+    before = text[max(0, m.start() - 16) : m.start()].split()
+    tail = before[-1].lstrip("([\"'«“‘").rpartition(".")[2].lower() if before else ""
+    if (len(tail) == 1 and tail.isascii() and tail.isalpha()) or tail in _ABBREVIATED:
         # at the end of a paragraph it ends the sentence as well
         return not text[m.end() :].strip()
     return True
@@ -92,7 +86,7 @@ def blocks(text: str) -> list[list[str]]:
             continue
         if fenced:
             continue
-        line = TAG.sub(" ", raw)
+        line = TAG.sub(" ", raw) if "<" in raw else raw
         bare = line.strip()
         if not bare:
             close()
@@ -152,6 +146,8 @@ def one_sentence_per_line(lines: list[str]) -> bool:
     if len(lines) < 2:
         return False
     stopped = sum(1 for x in lines if x.endswith("."))
-    inside = sum(1 for x in lines for m in STOP.finditer(x, 0, max(0, len(x) - 1)) if m.end() < len(x) and _ends(x, m))
     small = sum(1 for x in lines if x[:1].islower())
-    return stopped <= 0.2 * len(lines) and inside <= 0.1 * len(lines) and small <= 0.2 * len(lines)
+    if stopped > 0.2 * len(lines) or small > 0.2 * len(lines):
+        return False
+    inside = sum(1 for x in lines for m in STOP.finditer(x, 0, max(0, len(x) - 1)) if m.end() < len(x) and _ends(x, m))
+    return inside <= 0.1 * len(lines)

@@ -53,26 +53,29 @@ def _available(level: np.ndarray, difficulty: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(level[None, :] - difficulty[:, None])))
 
 
+class Items(dict):
+    """word -> item number, remembered for a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) >> (64 - BITS)
+        return h
+
+
 def prose_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang, sentences, words, letters, items) of every document with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, int] = {}
+        cache = Items()
         for batch in batches:
             told: dict[str | None, tuple] = {}
             rows = []
             for text in batch.column(2).to_pylist():
                 if text not in told:
                     sentences, n, letters, found = measure(text)
-                    items = np.empty(len(found), np.int64)
-                    for i, w in enumerate(found):
-                        h = cache.get(w)
-                        if h is None:
-                            if len(cache) > 300_000:
-                                cache.clear()
-                            h = cache[w] = xxhash.xxh3_64_intdigest(w.lower()) >> (64 - BITS)
-                        items[i] = h
-                    told[text] = (sentences, n, letters, np.unique(items).astype(np.int32))
+                    items = np.fromiter(map(cache.__getitem__, set(found)), np.int32, -1)
+                    told[text] = (sentences, n, letters, np.unique(items))
                 rows.append(told[text])
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays(
