@@ -39,9 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     unset (tests, one machine) an own temporary folder is made and removed at exit.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
+    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found:
+        if not jdir.isDefined():  # versions that do not read the setting themselves
+            spark.sparkContext.setCheckpointDir(found)
         return found
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jdir.isDefined():
         return jdir.get()
     path = tempfile.mkdtemp(prefix="millrace-")
