@@ -308,7 +308,8 @@ def html_text(c: Column) -> Column:
     c = F.regexp_replace(c, r"<[^>]*>", " ")
     for name, mark in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(mark))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "), r" ?\n ?", "\n"), r"\n{2,}", "\n"))
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[ \t\x{00A0}]+", " "), r" ?\n ?", "\n"), r"\n{2,}", "\n")
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def clean_url(c: Column) -> Column:
