@@ -18,7 +18,9 @@ components by alternating large-star and small-star.
    each checkpointed in the shared folder.
 
 Defined cases: null or short texts (under ``min_words`` words, or without a
-shingle) are in no pair and form groups of their own; repeated rows of one id
+shingle) are in no pair and form groups of their own, equal word sequences one
+group, a text without words one for its id (``duplicate_groups`` has their rows
+with ``every``; an id that also has a longer text stands by that); repeated rows of one id
 count once; an id delivered with different texts is linked through any of them;
 an empty table gives empty results; other columns are ignored, whatever their names.
 """
@@ -66,19 +68,29 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle: int = 5, bands: int = 56, min_words: int = 5, seed: int = 7) -> DataFrame:
-    """(id, cls, n, sig) of each record long enough; ``sig`` has one long per band."""
+def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle: int = 5, bands: int = 56, min_words: int = 5, seed: int = 7, every: bool = False) -> DataFrame:
+    """(id, cls, n, sig) of each record long enough; ``sig`` has one long per band.
+
+    With ``every`` also of the null and short ones, ``n`` being 0 and ``sig`` empty.
+    """
     a, b = hash_family(bands * LANES, seed)
     shift = (np.arange(LANES, dtype=np.uint64) * np.uint64(16))[None, :]
     least = max(min_words, shingle)
+    unsigned = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             ids, classes, sizes, sigs, seen = [], [], [], [], {}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = WORD.findall(fold(text))
+                found = WORD.findall(fold(text or ""))
                 if len(found) < least:
+                    if every:
+                        own = cache.of(found).tobytes() if found else b"\0" + i.encode("utf-8", "surrogatepass")
+                        ids.append(i)
+                        classes.append(xxhash.xxh3_64_intdigest(own) - 2**63)
+                        sizes.append(0)
+                        sigs.append(unsigned)
                     continue
                 hashes = cache.of(found)
                 cls = xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
@@ -92,12 +104,13 @@ def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle:
                 sizes.append(n)
                 sigs.append(sig)
             flat = np.concatenate(sigs) if sigs else np.empty(0, np.int64)
+            offsets = np.cumsum([0, *map(len, sigs)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.string()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) * bands + 1, bands), pa.int32()), pa.array(flat))],
+                [pa.array(ids, pa.string()), pa.array(classes, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
                 schema=_ARROW_SIGNED,
             )
 
-    source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    source = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL" if every else "id IS NOT NULL AND text IS NOT NULL")
     return source.mapInArrow(run, _SIGNED)
 
 
@@ -195,30 +208,33 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 5, bands: int = 56, slack: float = 0.12, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, min_words: int = 5, bands: int = 56, slack: float = 0.12, seed: int = 7, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, groups).
 
-    members: (id, cls), one row per id and class; links: (a, b, jaccard) between
+    members: (id, cls, long), one row per id and class, with ``every`` also of null
+    and short texts, which are not long; links: (a, b, jaccard) between
     different classes, exact; groups: (cls, root) for every linked class.
     ``slack`` is what a signature may lie under the threshold before the exact check
     (four standard errors of 224 minima).
     """
-    sig = materialise(signed(docs, id_col, text_col, shingle, bands, min_words, seed))
+    told = materialise(signed(docs, id_col, text_col, shingle, bands, min_words, seed, every))
+    sig = told.where("n > 0")
     likely = materialise(verified(sig, candidates(sig), threshold - slack))
     links = materialise(exact(docs, sig, likely, threshold, shingle, id_col, text_col))
     roots = components(links)
-    return sig.select("id", "cls").distinct(), links, roots.select(F.col("node").alias("cls"), "root")
+    return told.select("id", "cls", (F.col("n") > 0).alias("long")).distinct(), links, roots.select(F.col("node").alias("cls"), "root")
 
 
-def duplicate_groups(docs: DataFrame, **kw) -> DataFrame:
-    """One row per id: its class, its group (least class linked to it) and its number of links to other classes."""
-    members, links, groups = near_duplicates(docs, **kw)
+def duplicate_groups(docs: DataFrame, every: bool = False, **kw) -> DataFrame:
+    """One row per id with a text long enough, with ``every`` one per id: its group (least class linked to it) and its number of links to other classes."""
+    members, links, groups = near_duplicates(docs, every=every, **kw)
+    group = F.coalesce("root", "cls")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     return (
         members.join(groups, "cls", "left")
         .join(degree, "cls", "left")
         .groupBy("id")
-        .agg(F.min(F.coalesce("root", "cls")).alias("group_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
+        .agg(F.coalesce(F.min(F.when(F.col("long"), group)), F.min(group)).alias("group_id"), F.max(F.coalesce("links", F.lit(0))).alias("links"))
     )
 
 

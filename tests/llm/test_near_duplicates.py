@@ -63,6 +63,17 @@ def test_groups_are_components_of_exact_links(spark):
         assert (got[a] == got[b]) == (find(a) == find(b))
 
 
+def test_every_id_has_a_group(spark):
+    rows = [*corpus(2), ("stub2", "N/A!", 7, 7), ("null2", None, 7, 7), ("blank2", "", 7, 7), ("both", "n/a", 7, 7), ("both", corpus(2)[0][1], 7, 7), (None, "n/a", 7, 7)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    long, found = ({r.id: r for r in nd.duplicate_groups(docs, every=every).collect()} for every in (False, True))
+    assert found.keys() == {i for i, *_ in rows if i is not None}
+    assert all(found[i] == r for i, r in long.items())
+    short = [found[i].group_id for i in ("stub", "null", "null2", "blank", "blank2")]
+    assert found["stub2"].group_id == short[0] and len(set(short)) == 5 and not set(short) & {r.group_id for r in long.values()}
+    assert all(r.links == 0 for i, r in found.items() if i not in long)
+
+
 def test_components_like_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100, 100 + k) for k in range(1, 40)] + [(200 + k, 201 + k) for k in range(25)]
