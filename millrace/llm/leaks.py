@@ -14,6 +14,8 @@ Per batch of documents, on folded words joined by single blanks:
   item of ``m`` characters where ``e`` words may be altered that is
   ``m - q + 1 - sum(len + q over its e longest words)``; for a verbatim run of
   ``run`` words it is the number of q-grams in the shortest such run;
+* a band belongs to the document that holds its first q-gram, so a document that is a
+  fragment from inside an item is tried itself, wherever it lies in its batch;
 * regions kept are verified by a banded alignment of words (band as wide as the edit
   budget allows) and then by the exact rule: a shared run of ``run`` words, or a stretch
   of as many words as the item has whose distinct words overlap to ``share``.
@@ -103,8 +105,8 @@ class Index:
         self.maybe = np.zeros(1 << BITS, np.bool_)
         self.maybe[(self.grams >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def regions(self, line: str) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of each band of the text that meets its item's bound."""
+    def regions(self, line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, diagonal, place of its first q-gram in the text) of each band that meets its item's bound."""
         h = gram_hashes(codes_of(line))
         at = np.flatnonzero(self.maybe[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         h = h[at]
@@ -115,18 +117,20 @@ class Index:
         times = self.times[g]
         total = int(times.sum())
         if not total:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
         ends = np.cumsum(times)
         p = np.arange(total) - np.repeat(ends - times, times) + np.repeat(self.first[g], times)
         item = self.owner[p]
-        key = (item << np.int64(40)) + (np.repeat(at, times) - self.place[p] + (1 << 20))
-        key.sort()
+        at = np.repeat(at, times)
+        key = (item << np.int64(40)) + (at - self.place[p] + (1 << 20))
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
         item = key >> np.int64(40)
         # of the sorted points, the bound-th from this one must still lie in its band
         other = np.arange(total) + self.bound[item] - 1
         inside = np.flatnonzero(other < total)
         inside = inside[key[other[inside]] - key[inside] <= self.band[item[inside]]]
-        return item[inside], (key[inside] & np.int64((1 << 40) - 1)) - (1 << 20)
+        return item[inside], (key[inside] & np.int64((1 << 40) - 1)) - (1 << 20), at[inside]
 
     def holds(self, found: list[str], k: int, lo: int, hi: int) -> bool:
         """Banded alignment of the item with words[lo:hi], then the exact rule there."""
@@ -201,15 +205,15 @@ def _lines(texts: list[str]) -> Iterator[tuple[str, list[tuple[int, list[str], n
 def _scan(index: Index, texts: list[str]) -> Iterator[tuple[int, int]]:
     """(document, item) pairs that hold."""
     for line, members in _lines(texts):
-        item, diagonal = index.regions(line)
+        item, diagonal, at = index.regions(line)
         if not len(item) and not index.short:
             continue
         offsets = np.array([m[2] for m in members])
         # the diagonal may start a little before the document it belongs to
         reach = np.array([len(" ".join(x)) for x in index.words])
         hits = set()
-        for shift in (0, 1):
-            m = np.searchsorted(offsets, diagonal + shift * reach[item], side="right") - 1
+        for place in (at, diagonal, diagonal + reach[item]):  # of the matched q-gram, of the item's start and end
+            m = np.searchsorted(offsets, place, side="right") - 1
             hits |= set(zip(np.maximum(m, 0).tolist(), item.tolist(), (diagonal // 64 * 64).tolist(), strict=True))
         done: set[tuple[int, int]] = set()
         starts: dict[int, np.ndarray] = {}

@@ -43,6 +43,21 @@ def test_like_brute_force(spark):
     assert len(want) > 40 and {tuple(r) for r in got.collect()} == want
 
 
+def test_fragments_from_inside_items_wherever_they_lie(spark):
+    _, items = made(7)
+    rng = random.Random(8)
+    filler = [" ".join(f"z{rng.randrange(900)}q" for _ in range(n)) for n in (60, 3, 1, 80)]
+    docs = [("f0", filler[0])]
+    for k, text in items[:25]:
+        w = words(text)
+        if len(w) >= 30:
+            docs += [(f"part{k}", " ".join(w[8:22])), (f"a{k}", filler[1]), (f"b{k}", filler[2]), (f"ends{k}", filler[3])]
+    frame = spark.createDataFrame(docs, "id string, text string").coalesce(1)
+    got = {tuple(r) for r in leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert len(want) > 8 and got == want
+
+
 def test_blocks_of_items_give_the_same(spark):
     docs, items = made(5)
     d, e = spark.createDataFrame(docs, "id string, text string, item_id int, b string"), spark.createDataFrame(items, "item_id long, text string")
