@@ -92,6 +92,28 @@ def a22_delta_norm(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("node", "tensor", F.round("norm", 6).alias("norm"), "unmatched")
 
 
+_FOLLOWS = "round_num IN (SELECT round_num FROM c) AND round_num - 1 IN (SELECT round_num FROM c)"
+
+
+def _successive(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells of the round before under the number of the round they precede, cells of the round); a round without one before it is left out."""
+    r = cells.select("round_num").distinct()
+    both = r.join(r.select((F.col("round_num") + 1).alias("round_num")), "round_num")
+    return tuple(c.join(both, "round_num", "left_semi") for c in (cells.withColumn("round_num", F.col("round_num") + 1), cells))
+
+
+@query(
+    f"""WITH c AS ({_CELLS}), b AS (SELECT node, tensor, idx, round_num + 1 AS round_num, value FROM c)
+    SELECT round_num, node, tensor, round(sqrt(sum((a.value - b.value) * (a.value - b.value))), 6) AS norm, count(*) FILTER (a.value IS NULL OR b.value IS NULL) AS unmatched
+    FROM (SELECT * FROM b WHERE {_FOLLOWS}) b FULL JOIN (SELECT * FROM c WHERE {_FOLLOWS}) a USING (round_num, node, tensor, idx) GROUP BY 1, 2, 3"""
+)
+def a22_delta_norm_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Change of every round against the one before it."""
+    b, a = _successive(_cells(spark, sf).select("node", "tensor", "idx", "round_num", "value"))
+    d = K.delta_norm(b, a, ["round_num", "node", "tensor"], ["idx"], "value")
+    return d.select("round_num", "node", "tensor", F.round("norm", 6).alias("norm"), "unmatched")
+
+
 @query(
     f"""WITH c AS ({_CELLS}), s AS (SELECT tensor, idx, avg(value) AS s FROM c WHERE round_num = 1 AND is_float GROUP BY 1, 2), d AS (SELECT c.node, c.tensor, c.idx, c.value - s.s AS d FROM c JOIN s USING (tensor, idx) WHERE c.round_num = 2),
     q AS (SELECT node, sum(d * d) AS sq FROM d GROUP BY node), p AS (SELECT a.node AS i, b.node AS j, sum(a.d * b.d) AS dot FROM d a JOIN d b ON a.tensor = b.tensor AND a.idx = b.idx AND a.node < b.node GROUP BY 1, 2),
@@ -106,6 +128,21 @@ def a23_merge_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return m.select(*[F.round(x, 6).alias(x) for x in m.columns])
 
 
+@query(
+    f"""WITH c AS ({_CELLS}), s AS (SELECT round_num + 1 AS round_num, tensor, idx, avg(value) AS s FROM c WHERE is_float GROUP BY 1, 2, 3), d AS (SELECT round_num, c.node, tensor, idx, c.value - s.s AS d FROM c JOIN s USING (round_num, tensor, idx)),
+    q AS (SELECT round_num, node, sum(d * d) AS sq FROM d GROUP BY 1, 2), p AS (SELECT round_num, a.node AS i, b.node AS j, sum(a.d * b.d) AS dot FROM d a JOIN d b USING (round_num, tensor, idx) WHERE a.node < b.node GROUP BY 1, 2, 3),
+    co AS (SELECT p.round_num, avg(CASE WHEN x.sq > 0 AND y.sq > 0 THEN dot / sqrt(x.sq * y.sq) ELSE 0 END) AS c, sum(dot) AS dots FROM p JOIN q x ON x.round_num = p.round_num AND x.node = p.i JOIN q y ON y.round_num = p.round_num AND y.node = p.j GROUP BY 1),
+    n AS (SELECT round_num, sum(sq) AS ss, avg(sqrt(sq)) AS mn, count(*) AS n FROM q GROUP BY 1), g AS (SELECT round_num, avg(abs(t) / n) AS a FROM (SELECT round_num, sum(sign(d)) AS t FROM d GROUP BY round_num, tensor, idx) JOIN n USING (round_num) GROUP BY 1)
+    SELECT round_num, round(coalesce(c, 0), 6) AS mean_cosine, round(a, 6) AS sign_agreement, round(CASE WHEN mn > 0 THEN sqrt(greatest(ss + 2 * coalesce(dots, 0), 0) / (n * n)) / mn ELSE 0 END, 6) AS retained FROM n JOIN g USING (round_num) LEFT JOIN co USING (round_num)"""
+)
+def a23_merge_diagnostics_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Diagnostics of every round, the forks held against the mean of the round before."""
+    c = _cells(spark, sf)
+    start = c.where("is_float").groupBy((F.col("round_num") + 1).alias("round_num"), "tensor", "idx").agg(F.avg("value").alias("value"))
+    m = K.merge_diagnostics(start, c.select("node", "round_num", "tensor", "idx", "value"), "node", ["tensor", "idx"], "value", group=["round_num"])
+    return m.select("round_num", *[F.round(x, 6).alias(x) for x in m.columns if x != "round_num"])
+
+
 @query(f"WITH c AS ({_CELLS}) SELECT node, round_num, count(*) AS cells, count(DISTINCT tensor) AS tensors FROM c GROUP BY 1, 2")
 def j18_states(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(spark, sf).groupBy("node", "round_num").agg(F.count("*").alias("cells"), F.countDistinct("tensor").alias("tensors"))
