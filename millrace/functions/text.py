@@ -275,8 +275,12 @@ def chat_text(msgs: Column, head: str = "<|start_header_id|>", tail: str = "<|en
 
 
 def cue_score(c: Column, markers: list[str], marks: str) -> Column:
-    """Two points a marker word, one a marked character (Unicode aware)."""
-    return 2 * F.regexp_count(c, F.lit(rf"(?iU)\b({'|'.join(markers)})\b")) + F.regexp_count(c, F.lit(rf"(?iU)[{marks}]"))
+    """Two points a marker word, one a marked character (Unicode aware).
+
+    A combining mark is no part of a word here, unlike for ``\\b``, so it ends one.
+    """
+    edge = r"[\p{L}\p{N}_]"
+    return 2 * F.regexp_count(c, F.lit(rf"(?iU)(?<!{edge})({'|'.join(markers)})(?!{edge})")) + F.regexp_count(c, F.lit(rf"(?iU)[{marks}]"))
 
 
 def redact(c: Column) -> Column:

@@ -109,8 +109,8 @@ MARKS = "åäöéèđăâêôơư"
 
 @query(rf"SELECT id, batch_no, (2 * len(regexp_extract_all(' ' || lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '  ', 'g')) || ' ', ' ({'|'.join(MARKERS)}) ')) + len(regexp_extract_all(lower(text), '[{MARKS}]')))::INT AS cues FROM grounded WHERE regexp_full_match(coalesce(text, ''), '[^\x{{0300}}-\x{{036F}}\x{{064B}}-\x{{065F}}]*')")
 def f19_cue_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "grounded").where(F.coalesce("text", F.lit("")).rlike(r"(?s)^[^\x{0300}-\x{036F}\x{064B}-\x{065F}]*$"))
-    return rows.select("id", "batch_no", X.cue_score(F.col("text"), MARKERS, MARKS).alias("cues"))
+    """Every row; the SQL leaves out texts with combining marks, which the query has besides."""
+    return table(spark, sf, "grounded").select("id", "batch_no", X.cue_score(F.col("text"), MARKERS, MARKS).alias("cues"))
 
 
 @query("SELECT id, batch_no, replace(replace(replace(lower(domain), ' ', '_'), '(', ''), ')', '') AS slug, replace(lower(trim(license)), ' ', '-') AS license FROM grounded")
@@ -165,7 +165,8 @@ def f27_answer_letter(spark: SparkSession, sf: str) -> DataFrame:
     FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\d{10}')"""
 )
 def f29_survey_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "documents").where(F.col("text").isNotNull() & ~F.col("text").rlike(r"\d{10}"))
+    """Every text; the SQL leaves out those with a run of 10 digits, which the query has besides."""
+    rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
     t = F.col("text")
     return rows.select("doc_id", survey.first_int(t, 1, 10).alias("first_int"), survey.two_choices(t).alias("choices"), survey.lead_letter(t).alias("letter"))
 
@@ -197,6 +198,13 @@ def f37_byte_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", F.size("b").alias("n_bytes"), F.get("b", F.lit(0)).alias("first_code"))
 
 
+@query()
+def f37_byte_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item, whatever its language, with all its bytes."""
+    b = table(spark, sf, "eval_items").select("item_id", X.byte_tokens(F.col("text")).alias("b"))
+    return b.select("item_id", F.when(F.col("b").isNotNull(), F.size("b")).alias("n_bytes"), "b")
+
+
 @query(
     f"""WITH t AS (SELECT lang, item_id, least(len({tokens_sql('text')}), 40)::INT AS n FROM eval_items), m AS (SELECT lang, max(n) AS w FROM t GROUP BY lang)
     SELECT t.lang, count(*) AS rows, sum(m.w - 1)::BIGINT AS shifted_tokens, sum(m.w - t.n)::BIGINT AS pads FROM t JOIN m USING (lang) GROUP BY t.lang"""

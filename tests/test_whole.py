@@ -1,10 +1,12 @@
 """Queries over all rows, rounds and words, held against plain code on small tables."""
 
 import math
+import re
 from collections import defaultdict
 from itertools import combinations
 
 from millrace.plans import catalog
+from millrace.plans.texts import MARKERS, MARKS
 
 
 def run(spark, folder, name, table, rows, schema):
@@ -56,3 +58,30 @@ def test_merge_diagnostics_of_every_round(spark, tmp_path):
         norm = sum(math.sqrt(dot(n, n)) for n in d) / len(d)
         want = (sum(cosines) / len(cosines) if cosines else 0, sum(signs) / len(signs), math.sqrt(sum(v * v for v in total)) / norm)
         assert all(abs(a - b) < 2e-6 for a, b in zip((x.mean_cosine, x.sign_agreement, x.retained), want, strict=True))
+
+
+def test_cue_score_of_texts_with_combining_marks(spark, tmp_path):
+    texts = ["The village och the sea", "Da\u0303 the\u0301 village", "đã Đã đa\u0303 của cu\u0309a", "a\u030ao\u0308 åäö OCH", "\u0627\u0644\u0652\u0642\u064e the\u064e", "\u0301the och_the", "the,the", "", None]
+    got = {x.id: x.cues for x in run(spark, tmp_path, "f19_cue_score", "grounded", [(str(i), 1, t) for i, t in enumerate(texts)], "id string, batch_no int, text string")}
+    score = lambda t: 2 * len(re.findall(rf"\b({'|'.join(MARKERS)})\b", t, re.I)) + len(re.findall(f"[{MARKS}]", t, re.I))
+    assert got == {str(i): None if t is None else score(t) for i, t in enumerate(texts)}
+
+
+def test_survey_numbers_of_long_runs_of_digits(spark, tmp_path):
+    texts = ["call 0123456789 or 7", "1234567890123456789012 then 3", "-99999999999 4 2", "0000000000001 and 00000000000000000003", "A 2, 4", "3 11111111111 1", "none"]
+
+    def first(t):
+        return next((v for v in map(int, re.findall(r"-?\d+", t)) if 1 <= v <= 10), None)
+
+    def choices(t):
+        n = [int(x) for x in re.findall(r"\d+", t)]
+        return None if len(n) < 2 else {frozenset((1, 3)): 1, frozenset((2, 4)): 3}.get(frozenset(n[:2]), 2)
+
+    got = {x.doc_id: (x.first_int, x.choices) for x in run(spark, tmp_path, "f29_survey_numbers", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    assert got == {i: (first(t), choices(t)) for i, t in enumerate(texts)}
+
+
+def test_byte_tokens_of_every_language(spark, tmp_path):
+    rows = [(0, "en", "plain"), (1, "vi", "đã của"), (2, "ar", "\u0645\u064e"), (3, None, "😀 a\n"), (4, "sv", ""), (5, "sv", None)]
+    got = {x.item_id: (x.n_bytes, x.b) for x in run(spark, tmp_path, "f37_byte_tokens_all", "eval_items", rows, "item_id long, lang string, text string")}
+    assert got == {i: (None, None) if t is None else (len(t.encode()), list(t.encode())) for i, _, t in rows}
