@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import survey
@@ -210,14 +210,28 @@ def f37_byte_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
     SELECT t.lang, count(*) AS rows, sum(m.w - 1)::BIGINT AS shifted_tokens, sum(m.w - t.n)::BIGINT AS pads FROM t JOIN m USING (lang) GROUP BY t.lang"""
 )
 def f38_pad_and_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Right-padded inputs and targets shifted by one: the tokens a node reports count the pads as well."""
-    ids = F.transform(F.slice(X.tokens(F.col("text")), 1, 40), lambda x: F.length(x))
+    """Right-padded inputs and targets shifted by one, of the first 40 tokens; ``f38_pad_and_shift_all`` takes whole texts."""
+    return _padded(spark, sf, F.slice(X.tokens(F.col("text")), 1, 40))
+
+
+def _padded(spark: SparkSession, sf: str, tokens: Column) -> DataFrame:
+    """The tokens a node reports count the pads as well."""
+    ids = F.transform(tokens, lambda x: F.length(x))
     t = table(spark, sf, "eval_items").select("lang", ids.alias("ids"))
     m = t.groupBy("lang").agg(F.max(F.size("ids")).alias("w"))
     padded = t.join(m, "lang").select("lang", F.size("ids").alias("n"), X.pad_right(F.col("ids"), F.col("w")).alias("p"))
     return padded.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.size(F.slice("p", 2, 2**30))).alias("shifted_tokens"), F.sum(F.size("p") - F.col("n")).alias("pads"))
 
 
+@query(
+    f"""WITH t AS (SELECT lang, item_id, len({tokens_sql('text')})::INT AS n FROM eval_items), m AS (SELECT lang, max(n) AS w FROM t GROUP BY lang)
+    SELECT t.lang, count(*) AS rows, sum(m.w - 1)::BIGINT AS shifted_tokens, sum(m.w - t.n)::BIGINT AS pads FROM t JOIN m USING (lang) GROUP BY t.lang"""
+)
+def f38_pad_and_shift_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts, padded to the longest of their language."""
+    return _padded(spark, sf, X.tokens(F.col("text")))
+
+
 @query(
     f"""WITH t AS (SELECT doc_id, len({tokens_sql('text')}) AS n FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, (n // 128 + CASE WHEN n % 128 >= 2 THEN 1 ELSE 0 END)::INT AS windows, (CASE WHEN n % 128 = 1 THEN n - 1 ELSE n END)::INT AS kept FROM t"""

@@ -85,3 +85,11 @@ def test_byte_tokens_of_every_language(spark, tmp_path):
     rows = [(0, "en", "plain"), (1, "vi", "đã của"), (2, "ar", "\u0645\u064e"), (3, None, "😀 a\n"), (4, "sv", ""), (5, "sv", None)]
     got = {x.item_id: (x.n_bytes, x.b) for x in run(spark, tmp_path, "f37_byte_tokens_all", "eval_items", rows, "item_id long, lang string, text string")}
     assert got == {i: (None, None) if t is None else (len(t.encode()), list(t.encode())) for i, _, t in rows}
+
+
+def test_padding_to_the_longest_item(spark, tmp_path):
+    lengths = [("en", 3), ("en", 55), ("en", 41), ("vi", 90), ("sv", 2), ("sv", 40)]
+    rows = [(i, lang, " ".join(["ab"] * n)) for i, (lang, n) in enumerate(lengths)]
+    got = {x.lang: (x.rows, x.shifted_tokens, x.pads) for x in run(spark, tmp_path, "f38_pad_and_shift_all", "eval_items", rows, "item_id long, lang string, text string")}
+    of = {lang: [n for k, n in lengths if k == lang] for lang, _ in lengths}
+    assert got == {lang: (len(ns), len(ns) * (max(ns) - 1), sum(max(ns) - n for n in ns)) for lang, ns in of.items()}
