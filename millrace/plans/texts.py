@@ -139,6 +139,21 @@ def f24_token_window(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", F.md5(F.array_join("k", " ")).alias("digest"), F.size("k").alias("kept"))
 
 
+WINDOW, LEAST_WINDOW = 65, 64
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= {WINDOW} THEN w ELSE list_concat(w[1:{WINDOW // 2}], w[len(w) - {WINDOW - WINDOW // 2 - 1}:len(w)]) END, ' ')) AS digest, least(len(w), {WINDOW})::INT AS kept FROM t WHERE len(w) <= {WINDOW} OR {WINDOW} >= {LEAST_WINDOW}"""
+)
+def f24_token_window_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text: one that fits is kept whole, a longer one is dropped only if the window is under the least."""
+    t = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.words_of(F.col("text")).alias("w"))
+    fits = t.where((F.size("w") <= WINDOW) | F.lit(WINDOW >= LEAST_WINDOW))
+    kept = fits.select("doc_id", X.token_window(F.col("w"), F.lit(WINDOW)).alias("k"))
+    return kept.select("doc_id", F.md5(F.array_join("k", " ")).alias("digest"), F.size("k").alias("kept"))
+
+
 @query(
     r"""WITH m AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'so <ANSWER> (' || chr((65 + doc_id % 5)::INT) || ') </ANSWER> done' WHEN 1 THEN 'The best answer is: (' || chr((97 + doc_id % 4)::INT) || ').' WHEN 2 THEN '<ANSWER>x</ANSWER> the answer is **C' ELSE 'no idea' END AS t FROM documents)
     SELECT doc_id, CASE WHEN doc_id % 4 = 0 AND doc_id % 5 < 4 THEN chr((65 + doc_id % 5)::INT) WHEN doc_id % 4 = 1 THEN upper(chr((97 + doc_id % 4)::INT)) WHEN doc_id % 4 = 2 THEN 'C' END AS letter,

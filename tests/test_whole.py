@@ -1,5 +1,6 @@
 """Queries over all rows, rounds and words, held against plain code on small tables."""
 
+import hashlib
 import math
 import re
 from collections import defaultdict
@@ -93,3 +94,11 @@ def test_padding_to_the_longest_item(spark, tmp_path):
     got = {x.lang: (x.rows, x.shifted_tokens, x.pads) for x in run(spark, tmp_path, "f38_pad_and_shift_all", "eval_items", rows, "item_id long, lang string, text string")}
     of = {lang: [n for k, n in lengths if k == lang] for lang, _ in lengths}
     assert got == {lang: (len(ns), len(ns) * (max(ns) - 1), sum(max(ns) - n for n in ns)) for lang, ns in of.items()}
+
+
+def test_texts_that_fit_the_window_are_kept(spark, tmp_path):
+    sizes = [0, 1, 63, 64, 65, 66, 200]
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in sizes]
+    got = {x.doc_id: (x.digest, x.kept) for x in run(spark, tmp_path, "f24_token_window_all", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    cut = lambda w: w if len(w) <= 65 else w[:32] + w[-33:]
+    assert got == {i: (hashlib.md5(" ".join(cut(t.split())).encode()).hexdigest(), min(n, 65)) for i, (n, t) in enumerate(zip(sizes, texts, strict=True))}
