@@ -239,7 +239,7 @@ _NODES = f"SELECT node, round_num, tensor, avg(value) AS x FROM ({_CELLS}) WHERE
     SELECT round_num, count(*) AS pairs, round(avg(d), 5) AS separation, round(avg(d) - lag(avg(d)) OVER (ORDER BY round_num), 5) AS change FROM p GROUP BY round_num"""
 )
 def x07_separability(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean distance of every two nodes in each round, and its change from round to round (pairs of nodes, not of rows)."""
+    """Mean distance of every two nodes in each round, and its change from round to round (pairs of nodes, not of rows); no draws and no bands over draws."""
     n = _cells(spark, sf).where("is_float").groupBy("node", "round_num", "tensor").agg(F.avg("value").alias("x"))
     a, b = n.select("round_num", "tensor", F.col("node").alias("i"), F.col("x").alias("xi")), n.select("round_num", "tensor", F.col("node").alias("j"), F.col("x").alias("xj"))
     p = a.join(b, ["round_num", "tensor"]).where("i < j").groupBy("round_num", "i", "j").agg(F.sqrt(F.sum((F.col("xi") - F.col("xj")) * (F.col("xi") - F.col("xj")))).alias("d"))
