@@ -17,8 +17,8 @@ concerned, times the share of words in it for the document).
 
 Defined cases: null, blank and wordless texts have no language (null, confidence 0);
 digits carry no evidence; repeated rows count once; an empty table gives no rows;
-a word over 64 bytes is scored by its first 64 bytes (a guard against encoded blobs;
-every word still counts as one word).
+a word over 64 bytes is scored in consecutive parts of 64 bytes whose log probabilities
+are added, so every byte counts and every word still counts as one word.
 """
 
 from __future__ import annotations
@@ -140,14 +140,25 @@ def _in_blocks(words: list[bytes], size: int = 8192):
         yield np.array(part), [words[i] for i in part]
 
 
+def _parts(words: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """(consecutive parts of WORD_BYTES of the words, the word of each part)."""
+    coded, owner = [], []
+    for i, w in enumerate(words):
+        b = w.encode("utf-8", "surrogatepass")
+        for s in range(0, max(1, len(b)), WORD_BYTES):
+            coded.append(b[s : s + WORD_BYTES])
+            owner.append(i)
+    return coded, np.array(owner, np.int64)
+
+
 class Model:
     """Piece probabilities of each language."""
 
     def __init__(self, raw: bytes, counts: list[dict[str, int]], rounds: int = 3, pull: float = 200.0):
         self.pieces = Pieces(raw)
         vocabulary = sorted({w for c in counts for w in c})
-        coded = [w.encode("utf-8", "surrogatepass")[:WORD_BYTES] for w in vocabulary]
-        times = np.array([[c.get(w, 0) for c in counts] for w in vocabulary], float).reshape(len(vocabulary), len(counts))
+        coded, owner = _parts(vocabulary)
+        times = np.array([[c.get(w, 0) for c in counts] for w in vocabulary], float).reshape(len(vocabulary), len(counts))[owner]
         blocks = [(part, *self.pieces.lattice(ws)) for part, ws in _in_blocks(coded)]
         k = len(counts)
         seen = np.ones((self.pieces.count, k)) * 1e-3
@@ -185,12 +196,13 @@ class Model:
         """Log probability of each word in each language, relative to the best and not below ``floor``; digits are neutral."""
         out = np.zeros((len(words), self.theta.shape[1]), np.float32)
         spelled = [i for i, w in enumerate(words) if not w.isdigit()]
-        coded = [words[i].encode("utf-8", "surrogatepass")[:WORD_BYTES] for i in spelled]
-        index = np.array(spelled, np.int64)
+        coded, owner = _parts([words[i] for i in spelled])
+        total = np.zeros((len(spelled), self.theta.shape[1]))
         for part, ws in _in_blocks(coded):
             lengths, found = self.pieces.lattice(ws)
-            logs = np.log(np.maximum(forward(lengths, found, self.theta)[np.arange(len(ws)), lengths], 1e-300))
-            out[index[part]] = np.maximum(logs - logs.max(axis=1, keepdims=True), floor)
+            np.add.at(total, owner[part], np.log(np.maximum(forward(lengths, found, self.theta)[np.arange(len(ws)), lengths], 1e-300)))
+        if spelled:
+            out[spelled] = np.maximum(total - total.max(axis=1, keepdims=True), floor)
         return out
 
 

@@ -94,3 +94,18 @@ def test_held_out_accuracy(spark, model):
     rows = [(f"{lang}{k}", say(rng, lang, 25), lang) for lang in WORDS for k in range(20)]
     found = L.detect(spark.createDataFrame(rows, "id string, text string, lang string"), model).select("id", "stored", "main").distinct().collect()
     assert sum(r.main == r.stored for r in found) / len(rows) >= 0.98
+
+
+def test_every_byte_of_a_long_word_counts(model):
+    heads = ["och" * 22 + "x", "và" * 23]
+    words = [h + t for h in heads for t in ("", "because" * 30, "wedding" * 9, "القديم" * 12)]
+    logs = []
+    for w in words:
+        b = w.encode()
+        parts = [b[k : k + 64] for k in range(0, len(b), 64)]
+        lengths, found = model.pieces.lattice(parts)
+        logs.append(np.log(np.maximum(L.forward(lengths, found, model.theta)[np.arange(len(parts)), lengths], 1e-300)).sum(axis=0))
+    want = np.array(logs) - np.max(logs, axis=1, keepdims=True)
+    got = model.scores(words, floor=-1e9)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+    assert len({tuple(np.round(x, 3)) for x in got[:4]}) == 4 == len({tuple(np.round(x, 3)) for x in got[4:]})
