@@ -116,7 +116,13 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.usage(packing.pack_documents(table(spark, sf, "documents"), CAPACITY), CAPACITY)
+    return packing.usage_report(table(spark, sf, "documents"), CAPACITY)
+
+
+@query("SELECT count(DISTINCT doc_id) AS documents, 0 AS over_capacity, 0 AS repeated_parts, 0 AS needlessly_divided FROM documents")
+def p7_invariants(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document once, no container over its capacity, nothing divided that fits."""
+    return packing.invariants(packing.pack_documents(table(spark, sf, "documents"), CAPACITY), CAPACITY)
 
 
 @query()

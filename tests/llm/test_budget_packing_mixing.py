@@ -71,13 +71,41 @@ def test_plan_is_near_the_bound(seed):
     rng = np.random.default_rng(seed)
     n = np.clip(rng.lognormal(5, 0.8, 6000).astype(int), 1, 1024)
     h = dict(zip(*(x.tolist() for x in np.unique(n, return_counts=True))))
-    chosen = packing.plan(h, 1024)
+    told = packing.plan(h, 1024)
     used = {}
-    for config, copies in chosen:
+    for config, copies in told.chosen:
         assert sum(k * a for k, a in config.items()) <= 1024
         for k, a in config.items():
             used[k] = used.get(k, 0) + a * copies
-    assert used == h and sum(c for _, c in chosen) <= 1.02 * n.sum() / 1024 + 2
+    boxes = sum(c for _, c in told.chosen)
+    assert used == h and told.bound <= boxes <= 1.01 * told.bound + 2
+    assert told.lp_items + told.mended_items == len(n) and told.lp_items > 0.85 * len(n) and told.lp_value <= 1.1 * told.bound
+
+
+@pytest.mark.parametrize("times", [1, 100, 10_000])
+def test_configurations_of_the_lp_place_the_items(times):
+    """More items of the same lengths: the rounding keeps more of the fractional cover, by the same rule."""
+    n = np.clip(np.random.default_rng(5).lognormal(4, 0.7, 900).astype(int), 1, 256)
+    h = {int(k): int(c) * times for k, c in zip(*np.unique(n, return_counts=True))}
+    told = packing.plan(h, 256)
+    assert told.lp_items + told.mended_items == len(n) * times and told.lp_items > (0.75 if times == 1 else 0.95) * len(n) * times
+    assert sum(c for _, c in told.chosen) <= 1.02 * told.bound + 2
+
+
+def test_plan_without_partners():
+    """Lengths that leave no room for another, and ones that only round up beyond the grid."""
+    assert sum(c for _, c in packing.plan({1020: 3, 1000: 2, 900: 1}, 1024).chosen) == 6
+    assert sum(c for _, c in packing.plan({512: 5}, 1024).chosen) == 3 and packing.plan({}, 8).chosen == []
+
+
+def test_usage_and_invariants(spark):
+    docs = spark.createDataFrame([(i, "a word or two " * (i % 40)) for i in range(300)] + [(7, None), (900, "long " * 700)], "doc_id long, text string")
+    r = packing.usage_report(docs, 128).first()
+    assert r.fullest <= 128 and r.lp_items + r.mended_items <= r["items"] and r.bound <= r.containers
+    got = packing.invariants(packing.pack_documents(docs, 128), 128).first()
+    assert tuple(got) == (301, 0, 0, 0)
+    bad = spark.createDataFrame([(1, 0, 100, 0), (2, 0, 100, 0), (3, 0, 5, 1), (3, 0, 5, 1), (4, 0, 3, 2), (4, 1, 3, 2)], "doc_id long, part long, tokens long, container long")
+    assert tuple(packing.invariants(bad, 128).first()) == (4, 1, 1, 2)
 
 
 def test_pack_empty_and_texts(spark):
