@@ -135,13 +135,22 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    labels = table(spark, sf, "reading_labels")
+    return reading_level.grades(reading_level.reading_levels(table(spark, sf, "documents"), table(spark, sf, "lang_norms"), labels), labels)
+
+
 @query()
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    norms = table(spark, sf, "lang_norms")
-    return reading_level.bands(reading_level.reading_levels(table(spark, sf, "documents"), norms), norms)
+    return reading_level.bands(_graded(spark, sf), table(spark, sf, "lang_norms"))
 
 
 @query()
 def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
-    levels = reading_level.reading_levels(table(spark, sf, "documents"), table(spark, sf, "lang_norms"))
-    return reading_level.grades(levels, table(spark, sf, "reading_labels"))
+    return _graded(spark, sf)
+
+
+@query()
+def p9_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How well levels from half of the grades foretell the other half."""
+    return reading_level.agreement(table(spark, sf, "documents"), table(spark, sf, "lang_norms"), table(spark, sf, "reading_labels"))

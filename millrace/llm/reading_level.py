@@ -3,9 +3,14 @@
 A word ``w`` of a language is available to a document of level ``t`` with probability
 ``s(t - b_w)`` (logistic, ``b_w`` the difficulty of the word's occurrence) and is then
 used at its own rate ``q_w``; a document's distinct prose words are draws from
-``q_w s(t - b_w) / Z(t)``, so long documents are not taken for hard ones. Two further
-indicators tie the level down: average words a sentence and average letters a word,
-against the norm of the language.
+``q_w s(t - b_w) / Z(t)``, so long documents are not taken for hard ones. Nothing but the
+words a document uses enters its level: neither its sentences nor its averages.
+
+The scale is tied down in two places. Documents with a reader's grade have a normal prior
+at that grade (their level is known, give or take), all others one at the middle. A
+word's difficulty has a normal prior at its length against the norm of the language, as
+in a Rasch model whose item difficulties are regressed on a feature of the item; it gives
+the scale its direction in languages without grades.
 
 Distributed alternating optimisation, on a grid of levels:
 
@@ -13,18 +18,24 @@ Distributed alternating optimisation, on a grid of levels:
   posterior (one pass over the documents' word lists, no shuffle);
 * word step: counts per (word, level) are pre-aggregated in each batch, summed by
   word, and each word's ``b`` and ``q`` are fitted in the task that holds its counts.
+  Difficulties are then shifted back to the mean of their priors;
+
+until the difficulties of two rounds in a row agree (weighted correlation of at least
+``settled``), in at most ``most_rounds`` rounds.
 
-Words are hashed into ``2**BITS`` items a language, so the word table that is sent to
-all tasks has a size fixed by that parameter (at most 3 MB), whatever the vocabulary.
-Documents' word lists are extracted once and kept as a table in the shared folder.
+Words are hashed into ``2**BITS`` items a language (15 lengths times 2**15), so the word
+table that is sent to all tasks has a size fixed by that parameter (2.6 MB a language at
+most), whatever the vocabulary. Documents' word lists are extracted once and kept as a
+table in the shared folder.
 
-Bands: candidates lie on the easy or hard side of the level scale; whether they meet
-the definition (sentence length and word length) is then checked exactly.
+A line through the readers' grades turns levels into grades. Bands: candidates are
+documents whose grade lies on the easy or hard side; whether they meet the definition
+(sentence length and word length) is then checked exactly.
 
 Defined cases: null and blank texts and texts without prose have no level (null);
 a null language is detected from the text; documents of a language without a norm
 have no band; repeated rows of a doc_id count once; copies under other ids count each;
-empty tables give no rows.
+without usable grades the line is ``DEFAULT_LINE``; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -42,11 +53,13 @@ from millrace.llm import languages
 from millrace.llm.prose import measure
 from millrace.session import materialise
 
-BITS = 15
-LEVELS = np.arange(-3, 3.01, 0.25)
-DIFFICULTIES = np.arange(-4, 4.01, 0.25)
-#: words a sentence and its spread (log), spread of letters a word: scale of the two indicators
-USUAL_SENTENCE, SPREAD_SENTENCE, SPREAD_WORD = 15.0, 0.7, 0.6
+HASH_BITS, LENGTH_BITS = 15, 4
+BITS = HASH_BITS + LENGTH_BITS
+LEVELS = np.arange(-4, 4.01, 0.25)
+DIFFICULTIES = np.arange(-5, 5.01, 0.25)
+DEFAULT_LINE = (2.0, 8.0)  # grades a level, grade of level 0
+MIDDLE, GRADES_A_LEVEL, DOUBT = 8.0, 3.0, 0.5  # what a reader's grade says of the level, and how surely
+USUAL_WORD = 5.0  # letters a word where the language has no norm
 
 
 def _available(level: np.ndarray, difficulty: np.ndarray) -> np.ndarray:
@@ -59,7 +72,9 @@ class Items(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.lower().encode("utf-8", "surrogatepass")) >> (64 - BITS)
+        low = word.lower()
+        h = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass")) >> (64 - HASH_BITS)
+        self[word] = h = (min(len(low), (1 << LENGTH_BITS) - 1) << HASH_BITS) | h
         return h
 
 
@@ -116,22 +131,22 @@ class Words:
         return out
 
 
-def indicator(sentences: np.ndarray, words: np.ndarray, letters: np.ndarray, norm: np.ndarray) -> np.ndarray:
-    """What sentence and word length say of the level."""
-    long = np.log(np.maximum(words, 1) / np.maximum(sentences, 1) / USUAL_SENTENCE) / SPREAD_SENTENCE
-    wide = (letters / np.maximum(words, 1) - norm) / SPREAD_WORD
-    return np.clip((long + np.where(np.isfinite(wide), wide, 0.0)) / 2, -3, 3)
+def expected_difficulty(items: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Prior mean of the difficulty of items: their length against the norm of the language."""
+    usual = np.where(np.isfinite(norm), norm, USUAL_WORD)
+    return np.clip(((items >> HASH_BITS) - usual) / 3, -2, 2)
 
 
-def _levels(batch: pa.RecordBatch, norms: np.ndarray, words: Words | None, weight: float, tie: float) -> tuple:
-    """(lang number, level number, item offsets, items) of each document of a batch with prose."""
+def _levels(batch: pa.RecordBatch, words: Words | None, weight: float) -> tuple:
+    """(lang number, level number, item offsets, items) of each document of a batch."""
     lang = batch.column("lang_no").to_numpy(zero_copy_only=False).astype(np.int64)
-    sentences, n, letters = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("sentences", "words", "letters"))
+    anchor = batch.column("anchor").to_numpy(zero_copy_only=False).astype(float)
     lists = batch.column("items")
     items = lists.flatten().to_numpy().astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy().astype(np.int64))])
-    z = indicator(sentences, n, letters, norms[lang])
-    score = -tie / 2 * (LEVELS[None, :] - z[:, None]) ** 2 - LEVELS[None, :] ** 2 / 8
+    score = np.repeat(-(LEVELS[None, :] ** 2) / 8, len(lang), axis=0)
+    told = np.isfinite(anchor)
+    score[told] -= (LEVELS[None, :] - anchor[told, None]) ** 2 / (2 * DOUBT**2)
     if words is not None and len(items):
         owner = np.repeat(np.arange(len(lang)), np.diff(offsets))
         row = np.rint((words.difficulty[lang[owner], items] - DIFFICULTIES[0]) / 0.25).astype(np.int64)
@@ -142,56 +157,78 @@ def _levels(batch: pa.RecordBatch, norms: np.ndarray, words: Words | None, weigh
     return lang, score.argmax(axis=1), offsets, items
 
 
-def fit_levels(measured: DataFrame, norms: dict[str, float], rounds: int = 3, weight: float = 0.25, tie: float = 4.0) -> DataFrame:
-    """(doc_id, lang, sentences, words, letters, level); ``measured`` as from ``prose_table`` with languages filled in."""
+def _agreement(old: Words, new: Words) -> float:
+    """Correlation of the difficulties of two rounds, words weighted by their rate."""
+    x, y, w = (a.ravel()[new.rate.ravel() > 0].astype(float) for a in (old.difficulty, new.difficulty, new.rate))
+    if not len(w):
+        return 1.0
+    x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
+    spread = np.sqrt(np.average(x * x, weights=w) * np.average(y * y, weights=w))
+    return float(np.average(x * y, weights=w) / spread) if spread > 1e-12 else 1.0
+
+
+def fit_levels(measured: DataFrame, norms: dict[str, float], most_rounds: int = 8, settled: float = 0.98, weight: float = 0.25) -> DataFrame:
+    """(doc_id, lang, sentences, words, letters, level); ``measured`` as from ``prose_table`` with languages filled in and an ``anchor``, the level a reader gave or null."""
     spark = measured.sparkSession
     codes = sorted(norms)
     norm = np.array([norms[c] for c in codes] + [np.nan])
     number = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for i, c in enumerate(codes) for x in (c, i)]), F.col("lang")) if codes else F.lit(None), F.lit(len(codes)))
     numbered = measured.withColumn("lang_no", number.cast("int"))
     table = None
-    for _ in range(rounds):
-        state = spark.sparkContext.broadcast((norm, table))
+    for turn in range(most_rounds + 1):
+        state = spark.sparkContext.broadcast(table)
 
         def counts(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
             width = len(LEVELS)
             for batch in batches:
-                lang, level, offsets, items = _levels(batch, *state.value, weight, tie)
+                lang, level, offsets, items = _levels(batch, state.value, weight)
                 key = ((np.repeat(lang, np.diff(offsets)) << BITS) + items) * width + np.repeat(level, np.diff(offsets))
                 key, m = np.unique(key, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key // width), pa.array((key % width).astype(np.int32)), pa.array(m)], names=["item", "level", "m"])
 
-        with_prose = numbered.where("words > 0").select("lang_no", "sentences", "words", "letters", "items")
+        with_prose = numbered.where("words > 0").select("lang_no", "anchor", "items")
         held = materialise(with_prose.mapInArrow(counts, "item long, level int, m long").groupBy("item", "level").agg(F.sum("m").alias("m")))
         exposure = np.zeros((len(codes) + 1, len(LEVELS)))
         for r in held.groupBy(F.shiftright("item", BITS).alias("k"), "level").agg(F.sum("m").alias("m")).collect():  # languages x levels
             exposure[r.k, r.level] = r.m
         logz = table.log_norm() if table is not None else np.zeros_like(exposure)
-        given = spark.sparkContext.broadcast(exposure / np.exp(logz))
+        given = spark.sparkContext.broadcast((exposure / np.exp(logz), norm, turn == 0))
 
         def word_step(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
             available = _available(LEVELS, DIFFICULTIES)
+            exposed, norm, first = given.value
             for b in batches:
                 grid = np.stack(b["counts"].to_numpy()) if len(b) else np.zeros((0, len(LEVELS)))
-                offered = np.maximum(given.value[b["item"].to_numpy() >> BITS] @ available.T, 1e-9)
+                item = b["item"].to_numpy()
+                offered = np.maximum(exposed[item >> BITS] @ available.T, 1e-9)
                 total = grid.sum(axis=1)
-                # rate profiled out; the prior holds rare words at the middle
-                score = grid @ np.log(available).T - total[:, None] * np.log(offered) - DIFFICULTIES[None, :] ** 2 / 4.5
+                expected = expected_difficulty(item & ((1 << BITS) - 1), norm[item >> BITS])
+                # rate profiled out; the prior holds rare words at what their length says, and all words in the first round
+                score = -((DIFFICULTIES[None, :] - expected[:, None]) ** 2) / 4.5
+                if not first:
+                    score += grid @ np.log(available).T - total[:, None] * np.log(offered)
                 best = score.argmax(axis=1)
-                yield pd.DataFrame({"item": b["item"], "b": DIFFICULTIES[best], "q": total / offered[np.arange(len(b)), best]})
+                yield pd.DataFrame({"item": b["item"], "b": DIFFICULTIES[best], "q": total / offered[np.arange(len(b)), best], "m": total})
 
         spread = [F.sum(F.when(F.col("level") == g, F.col("m")).otherwise(0)).cast("double") for g in range(len(LEVELS))]
-        rows = held.groupBy("item").agg(F.array(*spread).alias("counts")).mapInPandas(word_step, "item long, b double, q double").toPandas()  # at most items x languages
-        table = Words(len(codes) + 1)
-        number = rows["item"].to_numpy().astype(np.int64)
-        k, w = number >> BITS, number & ((1 << BITS) - 1)
-        table.difficulty[k, w], table.rate[k, w] = rows["b"], rows["q"]
-
-    state = spark.sparkContext.broadcast((norm, table))
+        rows = held.groupBy("item").agg(F.array(*spread).alias("counts")).mapInPandas(word_step, "item long, b double, q double, m double").toPandas()  # at most items x languages
+        before, table = table, Words(len(codes) + 1)
+        at = rows["item"].to_numpy().astype(np.int64)
+        k, w, m = at >> BITS, at & ((1 << BITS) - 1), rows["m"].to_numpy()
+        b = rows["b"].to_numpy()
+        for lang in range(len(codes) + 1):  # back to the mean of the priors, on the grid
+            own = k == lang
+            if own.any():
+                b[own] -= np.rint(np.average(b[own] - expected_difficulty(w[own], norm[np.full(own.sum(), lang)]), weights=m[own]) / 0.25) * 0.25
+        table.difficulty[k, w], table.rate[k, w] = np.clip(b, DIFFICULTIES[0], DIFFICULTIES[-1]), rows["q"]
+        if before is not None and _agreement(before, table) >= settled:
+            break
+
+    state = spark.sparkContext.broadcast(table)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, level, _, _ = _levels(batch, *state.value, weight, tie)
+            _, level, _, _ = _levels(batch, state.value, weight)
             some = batch.column("words").to_numpy() > 0
             columns = [batch.column(c) for c in ("doc_id", "lang", "sentences", "words", "letters")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(LEVELS[level], mask=~some)], names=["doc_id", "lang", "sentences", "words", "letters", "level"])
@@ -199,25 +236,46 @@ def fit_levels(measured: DataFrame, norms: dict[str, float], rounds: int = 3, we
     return numbered.mapInArrow(final, "doc_id long, lang string, sentences long, words long, letters long, level double")
 
 
-def reading_levels(docs: DataFrame, lang_norms: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def given_grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, given): median of the grades (1 to 16) readers gave a document."""
+    return labels.where("doc_id IS NOT NULL AND grade BETWEEN 1 AND 16").select("doc_id", "reader", "grade").distinct().groupBy("doc_id").agg(F.percentile("grade", F.lit(0.5)).alias("given"))
+
+
+def reading_levels(docs: DataFrame, lang_norms: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Level of each document; ``labels`` (doc_id, reader, grade) tie the scale down."""
     norms = {r.lang: float(r.norm) for r in lang_norms.where(F.col("lang").isin(languages.LANGS)).groupBy("lang").agg(F.avg("typical_word_len").alias("norm")).collect() if r.norm}
     measured = with_language(prose_table(docs, id_col, text_col, lang_col), docs, id_col, text_col, lang_col)
-    return fit_levels(materialise(measured), norms).dropDuplicates(["doc_id"])
+    if labels is None:
+        anchored = measured.withColumn("anchor", F.lit(None).cast("double"))
+    else:
+        anchors = given_grades(labels).select("doc_id", ((F.col("given") - MIDDLE) / GRADES_A_LEVEL).alias("anchor"))
+        anchored = measured.join(anchors, "doc_id", "left")
+    return materialise(fit_levels(materialise(anchored), norms).dropDuplicates(["doc_id"]))
 
 
-def grades(levels: DataFrame, labels: DataFrame) -> DataFrame:
+def grades(levels: DataFrame, labels: DataFrame | None) -> DataFrame:
     """School grade (1 to 16) of each level, by a line through the median grade readers gave."""
-    median = labels.where("grade BETWEEN 1 AND 16").dropDuplicates(["doc_id", "reader", "grade"]).groupBy("doc_id").agg(F.percentile("grade", F.lit(0.5)).alias("given"))
-    line = median.join(levels.select("doc_id", "level"), "doc_id").agg(F.regr_slope("given", "level").alias("slope"), F.regr_intercept("given", "level").alias("base")).first()
-    slope, base = (line.slope, line.base) if line.slope is not None and line.base is not None else (2.0, 8.0)
+    slope, base = DEFAULT_LINE
+    if labels is not None:
+        line = given_grades(labels).join(levels.select("doc_id", "level"), "doc_id").agg(F.regr_slope("given", "level").alias("slope"), F.regr_intercept("given", "level").alias("base")).first()
+        if line.slope is not None and line.base is not None and line.slope > 0:
+            slope, base = line.slope, line.base
     return levels.withColumn("grade", F.least(F.greatest(F.lit(base) + F.lit(slope) * F.col("level"), F.lit(1.0)), F.lit(16.0)))
 
 
-def bands(levels: DataFrame, lang_norms: DataFrame, min_words: int = 40, easy_words: float = 9, hard_words: float = 27, margin: float = 0.75) -> DataFrame:
-    """(doc_id, band): levels on the easy or hard side (give or take ``margin``), then the exact definition."""
+def agreement(docs: DataFrame, lang_norms: DataFrame, labels: DataFrame) -> DataFrame:
+    """(held, correlation, mean_error): a model anchored by half of the graded documents (by hash of their id), held against the grades of the others."""
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    told = labels.where(half == 0)
+    graded = grades(reading_levels(docs, lang_norms, told), told)
+    return given_grades(labels.where(half == 1)).join(graded.where("grade IS NOT NULL"), "doc_id").agg(F.count("*").alias("held"), F.corr("given", "grade").alias("correlation"), F.avg(F.abs(F.col("given") - F.col("grade"))).alias("mean_error"))
+
+
+def bands(graded: DataFrame, lang_norms: DataFrame, min_words: int = 40, easy_words: float = 9, hard_words: float = 27, easy_grade: float = 7.5, hard_grade: float = 8.5) -> DataFrame:
+    """(doc_id, band): documents graded by the model at most ``easy_grade`` or at least ``hard_grade``, then the exact definition."""
     norm = lang_norms.groupBy("lang").agg(F.avg("typical_word_len").alias("norm"))
-    told = levels.where(F.col("words") >= min_words).join(norm, "lang")
+    told = graded.where(F.col("words") >= min_words).join(norm, "lang")
     per_sentence, per_word = F.col("words") / F.col("sentences"), F.col("letters") / F.col("words")
-    easy = (F.col("level") <= margin) & (per_sentence <= easy_words) & (per_word < F.col("norm"))
-    hard = (F.col("level") >= -margin) & (per_sentence >= hard_words) & (per_word > F.col("norm"))
+    easy = (F.col("grade") <= easy_grade) & (per_sentence <= easy_words) & (per_word < F.col("norm"))
+    hard = (F.col("grade") >= hard_grade) & (per_sentence >= hard_words) & (per_word > F.col("norm"))
     return told.select("doc_id", F.when(easy, "easy").when(hard, "hard").alias("band")).where("band IS NOT NULL")
