@@ -3,9 +3,11 @@
 Cuts lie where a natural boundary is: before or after a line break, before or after
 white space that follows one of ``. ! ? ؟ …``, and at both ends of the text.
 
-1. Each text over ``limit`` characters becomes a table of boundaries (id, pos). Where
-   more than ``limit`` characters stand between neighbouring boundaries, forced
-   positions are added every ``limit - overlap`` characters after the first of the two.
+1. Each text over ``limit`` characters becomes a list of boundary positions, found in
+   the scan: no text is shuffled, repeated rows are told by a hash of the text, and the
+   positions become a table of boundaries (key, pos). Where more than ``limit`` characters
+   stand between neighbouring boundaries, forced positions are added every
+   ``limit - overlap`` characters after the first of the two.
 2. Every boundary is joined to its farthest legal successor: the farthest one at most
    ``limit - overlap`` away (the next piece starts ``overlap`` characters before the
    cut); if there is none, the next one, with the overlap shortened to fit.
@@ -26,33 +28,48 @@ points.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace.session import materialise
 
-BREAK = r"\n\r\x0B\f\u0085\u2028\u2029"
-#: zero-width places before and after a boundary character
-BOUNDARY = rf"(?U)(?<=[{BREAK}])|(?=[{BREAK}])|(?<=[.!?؟…])(?=\s)|(?<=[.!?؟…]\s)"
+BREAK = r"\n\r\x0b\x0c\x85\u2028\u2029"
+SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: a boundary lies at both ends of each match: a line break, or white space after the end of a sentence
+BOUNDARY = re.compile(rf"[{BREAK}]|(?<=[.!?؟…])[{SPACE}]")
+
+
+def positions(text: str) -> np.ndarray:
+    """Rising boundary positions of a text, both ends included."""
+    at = np.array([m.start() for m in BOUNDARY.finditer(text)], np.int64)
+    return np.unique(np.concatenate([at, at + 1, [0, len(text)]]))
 
 
 def boundaries(texts: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(key, pos, forced, n): cut positions of texts longer than ``limit``; ``texts`` has key and text."""
+    """(key, pos, forced, n): cut positions of texts longer than ``limit``; ``texts`` has key (a struct of id and version) and text, rows may repeat."""
     step = limit - overlap
-    parts = texts.where(F.length("text") > limit).select("key", F.length("text").alias("n"), F.posexplode(F.split("text", BOUNDARY)).alias("i", "part"))
-    order = W.partitionBy("key").orderBy("i")
-    ends = parts.select("key", "n", "i", F.length("part").alias("len")).withColumn("pos", F.sum("len").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    # splitting drops an empty last part; the end of the text is a boundary in any case
-    gaps = ends.withColumn("before", F.col("pos") - F.col("len")).select("key", "n", "before", "pos")
-    natural = gaps.select("key", F.col("pos").cast("long").alias("pos"), F.lit(False).alias("forced"), "n").union(
-        gaps.where("before = 0").select("key", F.lit(0).cast("long"), F.lit(False), "n")
-    )
-    forced = gaps.where(F.col("pos") - F.col("before") > limit).select(
-        "key", F.explode(F.sequence(F.col("before") + step, F.col("pos") - 1, F.lit(step).cast("long"))).alias("pos"), F.lit(True).alias("forced"), "n"
-    )
-    # a forced position is only needed while the next natural one is out of reach
-    return natural.union(forced).groupBy("key", "pos").agg(F.min("forced").alias("forced"), F.max("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [positions(t) for t in batch.column(2).to_pylist()]
+            flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+            offsets = np.cumsum([0, *map(len, rows)])
+            n = pa.array([int(r[-1]) for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], names=["id", "version", "n", "at"])
+
+    long_ = texts.where(F.length("text") > limit).select("key.id", "key.version", "text").mapInArrow(run, "id string, version long, n long, at array<long>")
+    once = long_.dropDuplicates(["id", "version"]).select(F.struct("id", "version").alias("key"), "n", "at")
+    # from each position to the next; the last one has no gap after it
+    gaps = once.select("key", "n", F.explode(F.arrays_zip("at", F.slice("at", 2, F.size("at")).alias("after"))).alias("g")).select("key", "n", F.col("g.at").alias("pos"), F.col("g.after").alias("after"))
+    spread = F.when(F.col("after") - F.col("pos") > limit, F.sequence(F.col("pos") + step, F.col("after") - 1, F.lit(step).cast("long"))).otherwise(F.array().cast("array<long>"))
+    marks = F.concat(F.array(F.struct(F.col("pos"), F.lit(False).alias("forced"))), F.transform(spread, lambda x: F.struct(x.alias("pos"), F.lit(True).alias("forced"))))
+    return gaps.select("key", "n", F.explode(marks).alias("m")).select("key", "m.pos", "m.forced", "n")
 
 
 def successors(marks: DataFrame, limit: int, overlap: int) -> DataFrame:
@@ -72,7 +89,7 @@ def successors(marks: DataFrame, limit: int, overlap: int) -> DataFrame:
 
 def cuts(texts: DataFrame, limit: int, overlap: int) -> DataFrame:
     """(key, pos, forced, n): all greedy cuts of each oversized text, by pointer doubling."""
-    marks = materialise(boundaries(texts, limit, overlap).repartition("key"))
+    marks = materialise(boundaries(texts, limit, overlap))
     table = successors(marks, limit, overlap)
     reached = marks.where("pos = 0").select("key", "pos", "n")
     longest = marks.agg(F.max("n")).first()[0] or 0
@@ -96,7 +113,7 @@ def pieces(docs: DataFrame, limit: int = 2000, overlap: int = 200, id_col: str =
     keyed = texts.select("id", "text", F.xxhash64("text").alias("version"))
     once = keyed.dropDuplicates(["id", "version"]).withColumn("key", F.struct("id", "version"))
     whole = once.where(F.length("text") <= limit).select("id", "version", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.length("text").cast("long").alias("end"), F.lit(False).alias("forced"), F.lit(0).cast("long").alias("overlap"), "text")
-    found = spans(once.select("key", "text"), limit, overlap)
+    found = spans(keyed.select(F.struct("id", "version").alias("key"), "text"), limit, overlap)
     cut = found.join(once.select("key", "text"), "key").select(
         "key.id", "key.version", "piece", "start", "end", "forced", "overlap", F.expr("substring(text, CAST(start AS INT) + 1, CAST(end - start AS INT))").alias("text")
     )
@@ -104,7 +121,7 @@ def pieces(docs: DataFrame, limit: int = 2000, overlap: int = 200, id_col: str =
 
 
 def spans(texts: DataFrame, limit: int, overlap: int) -> DataFrame:
-    """(key, piece, start, end, forced, overlap) of oversized texts; ``texts`` has key and text, once each."""
+    """(key, piece, start, end, forced, overlap) of oversized texts; ``texts`` has key and text."""
     by = W.partitionBy("key").orderBy("pos")
     ends = cuts(texts, limit, overlap).dropDuplicates(["key", "pos"]).withColumn("from", F.lag("pos").over(by)).withColumn("piece", F.row_number().over(by) - 2)
     start = F.greatest(F.col("from") - overlap, F.col("pos") - limit, F.lit(0).cast("long"))
@@ -114,5 +131,5 @@ def spans(texts: DataFrame, limit: int, overlap: int) -> DataFrame:
 def oversized(docs: DataFrame, limit: int = 2000, overlap: int = 200, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(id, cut) of every text over the limit: ``forced`` if one of its pieces had to end off a natural boundary."""
     texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col(id_col).isNotNull() & (F.length(text_col) > limit))
-    once = texts.withColumn("key", F.struct("id", F.xxhash64("text").alias("version"))).dropDuplicates(["key"]).select("key", "text")
-    return spans(once, limit, overlap).groupBy("key.id").agg(F.max("forced").alias("f")).select("id", F.when(F.col("f"), "forced").otherwise("natural").alias("cut"))
+    keyed = texts.select(F.struct("id", F.xxhash64("text").alias("version")).alias("key"), "text")
+    return spans(keyed, limit, overlap).groupBy("key.id").agg(F.max("forced").alias("f")).select("id", F.when(F.col("f"), "forced").otherwise("natural").alias("cut"))
