@@ -24,8 +24,8 @@ until the difficulties of two rounds in a row agree (weighted correlation of at
 ``settled``), in at most ``most_rounds`` rounds.
 
 Words are hashed into ``2**BITS`` items a language (15 lengths times 2**15), so the word
-table that is sent to all tasks has a size fixed by that parameter (2.6 MB a language at
-most), whatever the vocabulary. Documents' word lists are extracted once and kept as a
+table that is sent to all tasks is as long as the vocabulary and at most as long as that
+parameter allows (7 MB a language), whatever the data. Documents' word lists are extracted once and kept as a
 table in the shared folder.
 
 A line through the readers' grades turns levels into grades. Bands: candidates are
@@ -113,22 +113,26 @@ def with_language(measured: DataFrame, docs: DataFrame, id_col: str, text_col: s
 
 
 class Words:
-    """Difficulty and rate of every item, one row per (language, item)."""
-
-    def __init__(self, langs: int):
-        self.difficulty = np.zeros((langs, 1 << BITS), np.float32)
-        self.rate = np.zeros((langs, 1 << BITS), np.float32)
-
-    def log_available(self) -> np.ndarray:
-        return np.log(_available(LEVELS, DIFFICULTIES)).astype(np.float32)
-
-    def log_norm(self) -> np.ndarray:
-        """log Z(level) of each language."""
-        out = np.zeros((len(self.rate), len(LEVELS)))
-        for k in range(len(self.rate)):
-            used = np.flatnonzero(self.rate[k])
-            out[k] = np.log(np.maximum(self.rate[k, used] @ _available(LEVELS, self.difficulty[k, used]), 1e-12)) if len(used) else 0.0
-        return out
+    """Difficulty and rate of the items seen: sorted numbers (language, item), so a table is as small as its vocabulary."""
+
+    def __init__(self, langs: int, number: np.ndarray, difficulty: np.ndarray, rate: np.ndarray):
+        order = np.argsort(number)
+        self.langs, self.number, self.rate = langs, number[order], rate[order].astype(np.float32)
+        self.row = np.rint((difficulty[order] - DIFFICULTIES[0]) / 0.25).astype(np.int8)
+        self.log_norm = np.zeros((langs, len(LEVELS)))  # log Z(level) of each language
+        available = _available(LEVELS, DIFFICULTIES)
+        for k in range(langs):
+            own = slice(*np.searchsorted(self.number, [k << BITS, (k + 1) << BITS]))
+            if self.rate[own].any():
+                self.log_norm[k] = np.log(np.maximum(np.bincount(self.row[own], self.rate[own], minlength=len(DIFFICULTIES)) @ available, 1e-12))
+        self._rows: np.ndarray | None = None
+
+    def rows(self) -> np.ndarray:
+        """Difficulty row of every possible item, -1 for those not seen; laid out once per worker, one byte an item."""
+        if self._rows is None:
+            self._rows = np.full(self.langs << BITS, -1, np.int8)
+            self._rows[self.number] = self.row
+        return self._rows
 
 
 def expected_difficulty(items: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -149,18 +153,18 @@ def _levels(batch: pa.RecordBatch, words: Words | None, weight: float) -> tuple:
     score[told] -= (LEVELS[None, :] - anchor[told, None]) ** 2 / (2 * DOUBT**2)
     if words is not None and len(items):
         owner = np.repeat(np.arange(len(lang)), np.diff(offsets))
-        row = np.rint((words.difficulty[lang[owner], items] - DIFFICULTIES[0]) / 0.25).astype(np.int64)
-        known = words.rate[lang[owner], items] > 0
+        row = words.rows()[(lang[owner] << BITS) + items].astype(np.int64)
+        known = row >= 0
         # how often each difficulty occurs in a document, times its log availability at each level
         counts = np.bincount((owner * len(DIFFICULTIES) + row)[known], minlength=len(lang) * len(DIFFICULTIES)).reshape(len(lang), -1)
-        score += weight * (counts @ words.log_available() - counts.sum(axis=1)[:, None] * words.log_norm()[lang])
+        score += weight * (counts @ np.log(_available(LEVELS, DIFFICULTIES)) - counts.sum(axis=1)[:, None] * words.log_norm[lang])
     return lang, score.argmax(axis=1), offsets, items
 
 
 def _agreement(old: Words, new: Words) -> float:
     """Correlation of the difficulties of two rounds, words weighted by their rate."""
-    x, y, w = (a.ravel()[new.rate.ravel() > 0].astype(float) for a in (old.difficulty, new.difficulty, new.rate))
-    if not len(w):
+    x, y, w = old.row.astype(float), new.row.astype(float), new.rate.astype(float)  # both rounds have seen the same items
+    if not w.sum():
         return 1.0
     x, y = x - np.average(x, weights=w), y - np.average(y, weights=w)
     spread = np.sqrt(np.average(x * x, weights=w) * np.average(y * y, weights=w))
@@ -191,7 +195,7 @@ def fit_levels(measured: DataFrame, norms: dict[str, float], most_rounds: int =
         exposure = np.zeros((len(codes) + 1, len(LEVELS)))
         for r in held.groupBy(F.shiftright("item", BITS).alias("k"), "level").agg(F.sum("m").alias("m")).collect():  # languages x levels
             exposure[r.k, r.level] = r.m
-        logz = table.log_norm() if table is not None else np.zeros_like(exposure)
+        logz = table.log_norm if table is not None else np.zeros_like(exposure)
         given = spark.sparkContext.broadcast((exposure / np.exp(logz), norm, turn == 0))
 
         def word_step(batches: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
@@ -212,7 +216,8 @@ def fit_levels(measured: DataFrame, norms: dict[str, float], most_rounds: int =
 
         spread = [F.sum(F.when(F.col("level") == g, F.col("m")).otherwise(0)).cast("double") for g in range(len(LEVELS))]
         rows = held.groupBy("item").agg(F.array(*spread).alias("counts")).mapInPandas(word_step, "item long, b double, q double, m double").toPandas()  # at most items x languages
-        before, table = table, Words(len(codes) + 1)
+        state.destroy()
+        given.destroy()
         at = rows["item"].to_numpy().astype(np.int64)
         k, w, m = at >> BITS, at & ((1 << BITS) - 1), rows["m"].to_numpy()
         b = rows["b"].to_numpy()
@@ -220,7 +225,7 @@ def fit_levels(measured: DataFrame, norms: dict[str, float], most_rounds: int =
             own = k == lang
             if own.any():
                 b[own] -= np.rint(np.average(b[own] - expected_difficulty(w[own], norm[np.full(own.sum(), lang)]), weights=m[own]) / 0.25) * 0.25
-        table.difficulty[k, w], table.rate[k, w] = np.clip(b, DIFFICULTIES[0], DIFFICULTIES[-1]), rows["q"]
+        before, table = table, Words(len(codes) + 1, at, np.clip(b, DIFFICULTIES[0], DIFFICULTIES[-1]), rows["q"].to_numpy())
         if before is not None and _agreement(before, table) >= settled:
             break
 
