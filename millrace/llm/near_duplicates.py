@@ -7,15 +7,21 @@ components by alternating large-star and small-star.
    sequence: records equal word for word are one class) and ``bands * rows``
    minima of the universal functions ``(a*x + b) mod 2**32``, ``a`` odd, over its
    distinct runs of ``shingle`` words. Of each minimum 16 bits are kept, four per
-   long: the long of a band is both its key and that part of the signature.
-2. Classes sharing a band key meet in a bucket. Copies have been collapsed, so a
-   hot group of copies costs one row. Buckets above ``block`` classes are split
+   long: the long of a band is both its key and that part of the signature. A task
+   signs each class once; further copies it meets carry no signature, so a hot group
+   of copies costs one row a task from here on.
+2. Classes sharing a band key meet in a bucket. Keys that hold a large share of the
+   classes are found beforehand from the classes whose hash is divisible by
+   ``HOT_PART`` (it only decides how rows are spread, no row depends on it) and are
+   spread over tasks by class. Buckets above ``block`` classes are split
    into blocks which are joined pair by pair in different tasks: no bucket is held
    by one task, nothing is cut off.
 3. Each distinct candidate pair is verified with the signatures; survivors may be
    verified exactly with the shingle sets of the classes concerned.
-4. Links between classes are closed to groups by large-star / small-star rounds,
-   each checkpointed in the shared folder.
+4. Links between classes, and between the classes of an id delivered with several
+   texts, are closed to groups by large-star / small-star rounds, each checkpointed in
+   the shared folder. A hub's neighbourhood is reduced to its least member before the
+   shuffle; the join that tells the members is split by adaptive execution if it is skewed.
 
 Defined cases: null or short texts (under ``min_words`` words, or without a
 shingle) are in no pair and form groups of their own, equal word sequences one
@@ -41,6 +47,8 @@ from millrace.llm.words import WORD, WordHashes, fold, shingles
 from millrace.session import checkpoint, materialise
 
 LANES = 4  # 16-bit minima per long: rows of a band
+HOT_PART, HOT_SHARE = 16, 0.001  # part of the classes that is looked at for hot keys; share of them that makes a key hot
+SIGNED_CLASSES = 500_000  # classes a task remembers to have signed
 
 _SIGNED = T.StructType(
     [
@@ -69,7 +77,7 @@ def minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle: int = 5, bands: int = 56, min_words: int = 5, seed: int = 7, every: bool = False) -> DataFrame:
-    """(id, cls, n, sig) of each record long enough; ``sig`` has one long per band.
+    """(id, cls, n, sig) of each record long enough; ``sig`` has one long per band, and is empty where the task has signed the class before.
 
     With ``every`` also of the null and short ones, ``n`` being 0 and ``sig`` empty.
     """
@@ -80,8 +88,9 @@ def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
+        seen: dict[int, int] = {}  # class -> shingles
         for batch in batches:
-            ids, classes, sizes, sigs, seen = [], [], [], [], {}
+            ids, classes, sizes, sigs = [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = WORD.findall(fold(text or ""))
                 if len(found) < least:
@@ -94,11 +103,14 @@ def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle:
                     continue
                 hashes = cache.of(found)
                 cls = xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63
-                if cls not in seen:
+                n, sig = seen.get(cls, 0), unsigned
+                if not n:
                     x = np.unique(shingles(hashes, shingle)).astype(np.uint32)
                     low = (minima(x, a, b) & np.uint32(0xFFFF)).astype(np.uint64).reshape(-1, LANES)
-                    seen[cls] = (len(x), (low << shift).sum(axis=1, dtype=np.uint64).view(np.int64))
-                n, sig = seen[cls]
+                    n, sig = len(x), (low << shift).sum(axis=1, dtype=np.uint64).view(np.int64)
+                    if len(seen) >= SIGNED_CLASSES:
+                        seen.clear()
+                    seen[cls] = n
                 ids.append(i)
                 classes.append(cls)
                 sizes.append(n)
@@ -114,25 +126,37 @@ def signed(docs: DataFrame, id_col: str = "id", text_col: str = "text", shingle:
     return source.mapInArrow(run, _SIGNED)
 
 
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """Band keys that hold a large share of the classes: at most ``bands / HOT_SHARE`` rows, whatever the data."""
+    part = keyed.where(F.pmod(F.xxhash64("cls"), F.lit(HOT_PART)) == 0)
+    classes = part.agg(F.approx_count_distinct("cls")).first()[0]
+    return part.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") >= max(32, int(HOT_SHARE * classes))).select("key", F.lit(True).alias("hot"))
+
+
+def paired(rows: DataFrame, key: str, value: str, block: int = 64) -> DataFrame:
+    """(a, b) with a < b: all pairs of different values sharing a key; ``rows`` are distinct.
+
+    Keys with up to ``block`` values are one block; larger ones are split by hash into
+    ceil(m / block) blocks, and each pair of blocks is a key of its own for the join.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("m")).where("m > 1")
+    sized = rows.select(key, value).join(counts, key)
+    parts = F.ceil(F.col("m") / block).cast("int")
+    blocked = sized.select(key, value, F.pmod(F.xxhash64(value), parts).cast("int").alias("own"), parts.alias("parts"))
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    left = blocked.select(key, F.col(value).alias("a"), F.col("own").alias("p"), others.alias("q"))
+    right = blocked.select(key, F.col(value).alias("b"), F.col("own").alias("q"), others.alias("p"))
+    return left.join(right, [key, "p", "q"]).where("a < b").select("a", "b")
+
+
 def candidates(sig: DataFrame, block: int = 64) -> DataFrame:
     """Distinct pairs of classes (a < b) sharing a band key; ``sig`` has one or more rows per class."""
     keyed = sig.select("cls", F.posexplode("sig").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "cls")
-    met = (
-        keyed.withColumn("lo", F.min("cls").over(W.partitionBy("key")))
-        .withColumn("hi", F.max("cls").over(W.partitionBy("key")))
-        .where("lo < hi")
-        .select("key", "cls")
-        .distinct()
-    )
-    met = materialise(met)
-    sized = met.join(met.groupBy("key").agg(F.count("*").alias("m")), "key")
-    # ordinary buckets: one block; larger ones: ceil(m / block) blocks by hash, each pair of blocks its own key
-    parts = F.ceil(F.col("m") / block).cast("int")
-    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    blocked = sized.select("key", "cls", own.alias("own"), parts.alias("parts"))
-    left = blocked.select("key", F.col("cls").alias("a"), F.col("own").alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-    right = blocked.select("key", F.col("cls").alias("b"), F.col("own").alias("q"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
-    return left.join(right, ["key", "p", "q"]).where("a < b").select("a", "b").distinct()
+    # a hot key is spread by class; it needs no look at its least and greatest class to be known as shared
+    spread = keyed.join(F.broadcast(hot_keys(keyed)), "key", "left").withColumn("salt", F.when(F.col("hot"), F.col("cls")).otherwise(F.lit(0).cast("long")))
+    by = W.partitionBy("key", "salt")
+    met = spread.withColumn("lo", F.min("cls").over(by)).withColumn("hi", F.max("cls").over(by)).where("hot OR lo < hi").select("key", "salt", "cls").distinct()
+    return paired(materialise(met.select("key", "cls")), "key", "cls", block).distinct()
 
 
 def _agreement() -> F.Column:
@@ -144,7 +168,7 @@ def _agreement() -> F.Column:
 
 def verified(sig: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """Candidate pairs whose signatures agree in at least ``least`` of the minima."""
-    one = sig.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sig").alias("sig"))
+    one = sig.where(F.size("sig") > 0).join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sig").alias("sig"))
     joined = pairs.join(one.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), "a").join(one.select(F.col("cls").alias("b"), F.col("sig").alias("sb")), "b")
     return joined.select("a", "b", _agreement().alias("estimate")).where(F.col("estimate") >= least)
 
@@ -221,7 +245,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "id", text_col: str = "text",
     sig = told.where("n > 0")
     likely = materialise(verified(sig, candidates(sig), threshold - slack))
     links = materialise(exact(docs, sig, likely, threshold, shingle, id_col, text_col))
-    roots = components(links)
+    # the classes of an id delivered with several texts belong together
+    several = sig.groupBy("id").agg(F.min("cls").alias("a"), F.max("cls").alias("hi")).where("a < hi").select("id", "a")
+    same_id = sig.select("id", "cls").join(several, "id").where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    roots = components(links.select("a", "b").union(same_id))
     return told.select("id", "cls", (F.col("n") > 0).alias("long")).distinct(), links, roots.select(F.col("node").alias("cls"), "root")
 
 
@@ -245,5 +272,5 @@ def duplicate_pairs(docs: DataFrame, **kw) -> DataFrame:
     grouped = links.join(groups.withColumnRenamed("cls", "a"), "a").select("a", "b", "root")
     x, y = members.select(F.col("cls").alias("a"), F.col("id").alias("ia")), members.select(F.col("cls").alias("b"), F.col("id").alias("ib"))
     across = grouped.join(x, "a").join(y, "b").select("ia", "ib")
-    within = x.join(y, F.col("a") == F.col("b")).where("ia < ib").select("ia", "ib")
+    within = paired(members.select("cls", "id").distinct(), "cls", "id").select(F.col("a").alias("ia"), F.col("b").alias("ib"))
     return across.union(within).where("ia <> ib").select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import near_duplicates as nd
 from millrace.llm.words import words
@@ -98,6 +99,37 @@ def test_large_buckets_lose_nothing(spark):
     assert small == large == set(combinations(range(50), 2))
 
 
+def test_an_id_with_two_texts_joins_their_groups(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [("one", a), ("two", a), ("both", a), ("both", b), ("three", b), ("far", a.replace("a", "z"))]
+    got = {r.id: r.group_id for r in nd.duplicate_groups(spark.createDataFrame(rows, "id string, text string")).collect()}
+    assert len({got[i] for i in ("one", "two", "both", "three")}) == 1 and got["far"] != got["one"]
+    pairs = nd.duplicate_pairs(spark.createDataFrame(rows, "id string, text string"), shingle=3, threshold=0.5, min_words=20)
+    assert {tuple(r) for r in pairs.collect()} == {("one", "two"), ("both", "one"), ("both", "two"), ("both", "three")}
+
+
+def test_copies_are_signed_once_a_task_and_keep_their_group(spark):
+    """A hundred thousand copies are a handful of signatures; texts near them are still found."""
+    base = " ".join(f"w{i}" for i in range(30))
+    near = base.replace("w29", "other")
+    copies = spark.range(100_000, numPartitions=4).select(F.col("id").cast("string").alias("id"), F.lit(base).alias("text"))
+    docs = copies.union(spark.createDataFrame([("near", near), ("apart", near.replace("w", "q"))], "id string, text string"))
+    told = nd.signed(docs)
+    assert told.count() == 100_002 and told.where(F.size("sig") > 0).count() <= 4 + 2 * docs.rdd.getNumPartitions()
+    groups = nd.duplicate_groups(docs)
+    sizes = {r.group_id: (r["count"], r.links) for r in groups.groupBy("group_id").agg(F.count("*").alias("count"), F.max("links").alias("links")).collect()}
+    assert sorted(sizes.values()) == [(1, 0), (100_001, 1)]
+
+
+def test_hot_keys_are_spread_and_lose_nothing(spark):
+    """One band key held by all classes, and a hub in the star rounds."""
+    sig = spark.range(3000).select(F.col("id").alias("cls"), F.array(F.lit(1), F.col("id") % 1500 + 10).alias("sig"))
+    assert nd.hot_keys(sig.select("cls", F.posexplode("sig").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "cls")).count() == 1
+    assert nd.candidates(sig).count() == 3000 * 2999 // 2
+    hub = spark.range(1, 30_000).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert nd.components(hub).select("root").distinct().count() == 1
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert nd.duplicate_pairs(empty).count() == 0 and nd.duplicate_groups(empty).count() == 0
