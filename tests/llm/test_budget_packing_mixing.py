@@ -25,7 +25,7 @@ def test_ledger_equals_a_fresh_count_and_encodes_once(spark):
     ledger.update(spark.createDataFrame(second, DELIVERED), removed=spark.createDataFrame([("5",), ("9",)], "id string"))
     want = {("a-b", "en", "law"): (3, count_tokens(enc, "one two three") + count_tokens(enc, "four five")), ("unknown", "unknown", "unknown"): (1, 0), ("new", "sv", "law"): (1, count_tokens(enc, "one two three"))}
     assert {(r.source, r.lang, r.domain): (r.docs, r.tokens) for r in ledger.cube().collect()} == want
-    counts = ledger._read(ledger.counts, "content binary, tokenizer string, n_tokens long")
+    counts = ledger._known()
     assert counts.count() == counts.distinct().count() == 4  # each text once, though two were delivered again
     total = ledger.totals().where("source IS NULL AND lang IS NULL AND domain IS NULL").first()
     assert (total.docs, total.tokens) == (5, sum(t for _, t in want.values()))
@@ -35,6 +35,38 @@ def test_ledger_equals_a_fresh_count_and_encodes_once(spark):
     assert sum(r.docs for r in ledger.cube().collect()) == 3
 
 
+def test_ledger_goes_on_from_its_folder(spark, tmp_path):
+    folder = f"file://{tmp_path}/ledger"
+    first = [row("1", "one two three"), row("2", "four five six"), row("3", "seven", batch=5), row("4", "four five six")]
+    a = TokenLedger(spark, folder)
+    a.update(spark.createDataFrame(first, DELIVERED))
+    assert a.encoded == 3
+    # what an interrupted update leaves is named in no manifest
+    spark.createDataFrame([("x",)], "content string").write.parquet(f"{folder}/counts-unfinished")
+    b = TokenLedger(spark, folder)
+    assert sorted(b.cube().collect()) == sorted(a.cube().collect())
+    b.update(spark.createDataFrame(first, DELIVERED))
+    assert b.encoded == 0 and sorted(b.cube().collect()) == sorted(a.cube().collect())
+    # an older delivery does not overwrite a newer one, a removed document comes back as it is delivered
+    b.update(spark.createDataFrame([row("3", "eight nine", batch=2), row("5", "ten", batch=2)], DELIVERED), removed=spark.createDataFrame([("1",), ("1",), ("77",)], "id string"))
+    c = TokenLedger(spark, folder)
+    enc = encoder(ranks_file())
+    told = lambda ledger: {r.id: r.n_tokens for r in ledger.document_tokens().collect()}
+    assert told(c) == {"2": count_tokens(enc, "four five six"), "3": count_tokens(enc, "seven"), "4": count_tokens(enc, "four five six"), "5": count_tokens(enc, "ten")}
+    c.update(spark.createDataFrame([row("1", "one two three", batch=0)], DELIVERED))
+    assert c.encoded == 0 and "1" in told(c) and sum(r.docs for r in c.cube().collect()) == 5
+    before = sorted(c.cube().collect()), told(c)
+    c.compact()
+    assert all(len(x) == 1 for x in c.tables.values()) and (sorted(c.cube().collect()), told(c)) == before
+    d = TokenLedger(spark, folder)
+    d.update(spark.createDataFrame([row("2", "changed text", batch=9)], DELIVERED), complete=True)
+    assert told(d).keys() == {"2"} and [r.docs for r in d.cube().collect()] == [1]
+    with pytest.raises(RuntimeError):  # the version was written by another update
+        c.update(spark.createDataFrame(first, DELIVERED))
+    with pytest.raises(ValueError):
+        TokenLedger(spark, folder, "byte_bpe_50k")
+
+
 def test_long_texts_are_counted_exactly():
     enc = encoder(ranks_file())
     rng = random.Random(1)
