@@ -39,26 +39,25 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaks(table(spark, sf, "grounded"), table(spark, sf, "eval_items"))
 
 
-_NUMBER = " + ".join(f"(strpos('0123456789abcdefghijklmnopqrstuvwxyz', substr(lpad(split_part(id, ':', -1), 6, '0'), {k + 1}, 1)) - 1) * {36 ** (5 - k)}" for k in range(6))
 SAMPLE_RATE = 0.1
+_LEAST = int(SAMPLE_RATE * sampling.SIDE)
+_PLACED = sampling.permuted_sql("SELECT DISTINCT id FROM grounded WHERE id IS NOT NULL")
 
 
-@query(f"SELECT id, place FROM ({sampling.permuted_sql('number', f'SELECT DISTINCT id, CAST({_NUMBER} AS BIGINT) AS number FROM grounded WHERE id IS NOT NULL')}) WHERE place < {int(SAMPLE_RATE * sampling.DOMAIN)}")
+@query(f"SELECT id, place FROM ({_PLACED}) WHERE place < {_LEAST}")
 def p3_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Chosen ids with their place in the permuted domain."""
     return sampling.stable_sample(table(spark, sf, "grounded").select("id"), SAMPLE_RATE, place_col="place").distinct()
 
 
 @query(
-    f"""WITH chosen AS ({sampling.permuted_sql('number', f'SELECT DISTINCT id, CAST({_NUMBER} AS BIGINT) AS number FROM grounded WHERE id IS NOT NULL')}),
-    first AS (SELECT id, min(batch_no) AS batch_no FROM grounded GROUP BY id)
-    SELECT f.batch_no, count(*) AS arrived, count(*) FILTER (c.place < {int(SAMPLE_RATE * sampling.DOMAIN)}) AS chosen FROM first f JOIN chosen c USING (id) GROUP BY f.batch_no"""
+    f"""WITH chosen AS ({_PLACED}), first AS (SELECT id, min(batch_no) AS batch_no FROM grounded GROUP BY id)
+    SELECT f.batch_no, count(*) AS arrived, count(*) FILTER (c.place < {_LEAST}) AS chosen FROM first f JOIN chosen c USING (id) GROUP BY f.batch_no"""
 )
 def p3_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Ids first seen with each batch, and how many of them the sample holds for good."""
     first = table(spark, sf, "grounded").groupBy("id").agg(F.min("batch_no").alias("batch_no")).where("id IS NOT NULL")
-    place = sampling.permuted(sampling.number_of(F.col("id")))
-    return first.groupBy("batch_no").agg(F.count("*").alias("arrived"), F.count_if(place < int(SAMPLE_RATE * sampling.DOMAIN)).alias("chosen"))
+    return first.groupBy("batch_no").agg(F.count("*").alias("arrived"), F.count_if(sampling.place_of(F.col("id")) < _LEAST).alias("chosen"))
 
 
 @query()
