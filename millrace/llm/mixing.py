@@ -90,7 +90,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, se
         .groupBy("source")
         .agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
     )
-    listed = {r.source: (r.share, max(1, r.cap)) for r in wanted.limit(most_leaves).collect()}
+    listed = {r.source: (r.share, max(1, r.cap)) for r in wanted.limit(most_leaves + 1).collect()}
+    if len(listed) > most_leaves:
+        raise ValueError(f"more than {most_leaves} sources are listed")
     labelled = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), source_label(F.col("source")).alias("source"), lang_label(F.col("lang")).alias("lang"), domain_label(F.col("domain")).alias("domain"))
     sized = with_tokens(labelled.join(wanted.select("source"), "source", "left_semi"), "id", "text", tokenizer, keep=LEVELS).where("n_tokens > 0")
     sized = materialise(sized.groupBy("id").agg(F.max(F.struct("n_tokens", *LEVELS)).alias("d")).select("id", "d.*"))
