@@ -10,13 +10,18 @@ first fit assigns to another language are left out of the second, since labels m
 be wrong.
 
 A document's words then form a chain: the most probable language path under a switch
-cost is found for all doubtful documents of a batch together; a document in which no
-window of words prefers another language is one segment. Every segment, and the
+cost is found for all doubtful documents of a batch together; a document is not doubtful
+only if no stretch of it gains enough by another language to pay for a change. Every segment, and the
 document, gets a language and a confidence (posterior of the language over the words
 concerned, times the share of words in it for the document).
 
+Codes and tables of names look like some language or other. In a text that changes its
+language, a stretch of which less than ``SUPPORT`` of the words without digits are words seen
+in at least two sample rows of its language therefore has no language (null, confidence 0)
+and counts for no language of the document.
+
 Defined cases: null, blank and wordless texts have no language (null, confidence 0);
-digits carry no evidence; repeated rows count once; an empty table gives no rows;
+words with digits carry no evidence; repeated rows count once; an empty table gives no rows;
 a word over 64 bytes is scored in consecutive parts of 64 bytes whose log probabilities
 are added, so every byte counts and every word still counts as one word.
 """
@@ -45,8 +50,8 @@ NAMES = {
     "fr": ["fra", "fre", "french"],
     "de": ["deu", "ger", "german"],
 }
-LONGEST = 12  # bytes of a piece
 WORD_BYTES = 64
+SUPPORT = 0.25  # share of the words of a stretch that must be known words of its language
 CACHE = 300_000
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 20
@@ -64,9 +69,10 @@ class Pieces:
     """The vocabulary as a table from byte-string hash to piece number."""
 
     def __init__(self, raw: bytes):
-        pieces = [p for p in parse_ranks(raw) if len(p) <= LONGEST and not any(65 <= c <= 90 for c in p)]
+        # pieces with an ASCII capital, blank or sign never stand in a folded word; all others count, whatever their length
+        pieces = [p for p in parse_ranks(raw) if all(c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 for c in p)]
         self.count = len(pieces)
-        self.lengths = np.array([len(p) for p in pieces])
+        self.longest = max(map(len, pieces))
         keys = np.array([self._hash(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], order.astype(np.int32)
@@ -98,8 +104,8 @@ class Pieces:
             live = live[~hit & (at[live] < end[live])]
         return out
 
-    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(lengths, for l = 1..LONGEST the piece that is bytes [j - l, j) of each word, as an array [word, j])."""
+    def lattice(self, words: list[bytes]) -> tuple[np.ndarray, list[np.ndarray | None]]:
+        """(lengths, for l = 1, 2, ... the piece that is bytes [j - l, j) of each word, as an array [word, j], None where there is no such piece)."""
         lengths = np.array([len(w) for w in words], np.int64)
         width = int(lengths.max(initial=0))
         grid = np.zeros((len(words), width), np.uint64)
@@ -108,24 +114,30 @@ class Pieces:
         valid = np.arange(1, width + 1)[None, :] <= lengths[:, None]
         h = np.zeros((len(words), width), np.uint64)
         found = []
-        for size in range(1, min(LONGEST, width) + 1):
+        for size in range(1, min(self.longest, width) + 1):
             # h[:, i] is the hash of the bytes [i, i + size)
             h = (h[:, : width - size + 1] + grid[:, size - 1 :] + np.uint64(1)) * _MULT
             h ^= h >> np.uint64(29)
-            ids = np.full((len(words), width + 1), -1, np.int32)
             ok = valid[:, size - 1 :]
-            ids[:, size:][ok] = self.find(h[ok])
+            told = self.find(h[ok])
+            if not (told >= 0).any():
+                found.append(None)
+                continue
+            ids = np.full((len(words), width + 1), -1, np.int32)
+            ids[:, size:][ok] = told
             found.append(ids)
         return lengths, found
 
 
-def forward(lengths: np.ndarray, found: list[np.ndarray], theta: np.ndarray) -> np.ndarray:
+def forward(lengths: np.ndarray, found: list[np.ndarray | None], theta: np.ndarray) -> np.ndarray:
     """alpha[word, place, language]: probability of the bytes before the place, summed over all segmentations."""
-    n, width = len(lengths), found[0].shape[1] if found else 1
+    n, width = len(lengths), int(lengths.max(initial=0)) + 1
     alpha = np.zeros((n, width, theta.shape[1]))
     alpha[:, 0] = 1.0
     for j in range(1, width):
         for size in range(1, min(len(found), j) + 1):
+            if found[size - 1] is None:
+                continue
             ids = found[size - 1][:, j]
             w = np.flatnonzero(ids >= 0)
             if len(w):
@@ -154,8 +166,9 @@ def _parts(words: list[str]) -> tuple[list[bytes], np.ndarray]:
 class Model:
     """Piece probabilities of each language."""
 
-    def __init__(self, raw: bytes, counts: list[dict[str, int]], rounds: int = 3, pull: float = 200.0):
+    def __init__(self, raw: bytes, counts: list[dict[str, int]], rounds: int = 3, pull: float = 200.0, lexicon: dict[str, int] | None = None):
         self.pieces = Pieces(raw)
+        self.lexicon = lexicon or {}  # word -> languages it is known in, as bits
         vocabulary = sorted({w for c in counts for w in c})
         coded, owner = _parts(vocabulary)
         times = np.array([[c.get(w, 0) for c in counts] for w in vocabulary], float).reshape(len(vocabulary), len(counts))[owner]
@@ -163,7 +176,7 @@ class Model:
         k = len(counts)
         seen = np.ones((self.pieces.count, k)) * 1e-3
         for part, _, found in blocks:  # start from how often each piece stands anywhere
-            for ids in found:
+            for ids in filter(lambda x: x is not None, found):
                 w, j = np.nonzero(ids >= 0)
                 np.add.at(seen, ids[w, j], times[part[w]] / 10)
         for _ in range(rounds):
@@ -178,6 +191,8 @@ class Model:
                 share = times[part] / total
                 for j in range(width - 1, 0, -1):
                     for size in range(1, min(len(found), j) + 1):
+                        if found[size - 1] is None:
+                            continue
                         ids = found[size - 1][:, j]
                         w = np.flatnonzero(ids >= 0)
                         if len(w):
@@ -193,9 +208,9 @@ class Model:
         return (seen + pull * pooled[:, None]) / (seen.sum(axis=0) + pull)
 
     def scores(self, words: list[str], floor: float = -7.0) -> np.ndarray:
-        """Log probability of each word in each language, relative to the best and not below ``floor``; digits are neutral."""
+        """Log probability of each word in each language, relative to the best and not below ``floor``; words with digits are neutral."""
         out = np.zeros((len(words), self.theta.shape[1]), np.float32)
-        spelled = [i for i, w in enumerate(words) if not w.isdigit()]
+        spelled = [i for i, w in enumerate(words) if not any(c.isdigit() for c in w)]
         coded, owner = _parts([words[i] for i in spelled])
         total = np.zeros((len(spelled), self.theta.shape[1]))
         for part, ws in _in_blocks(coded):
@@ -212,6 +227,7 @@ class Scorer(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.matrix, self.new = model, np.zeros((0, len(LANGS)), np.float32), []
+        self.bits = self.known = np.zeros(0, np.int16)
 
     def __missing__(self, word: str) -> int:
         self[word] = k = len(self)
@@ -219,34 +235,50 @@ class Scorer(dict):
         return k
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of all words, end to end; offsets of the documents)."""
+        """(scores of all words, end to end; offsets of the documents). ``known`` has for the same words the languages they are known in, as bits, -1 for words with digits."""
         if len(self) > CACHE:
             self.clear()
-            self.matrix = self.matrix[:0]
+            self.matrix, self.bits = self.matrix[:0], self.bits[:0]
         rows = []
         for text in texts:
             found = WORD.findall(fold(text)) if text else []
             rows.append(np.fromiter(map(self.__getitem__, found), np.int64, len(found)))
         if self.new:
             self.matrix = np.concatenate([self.matrix, self.model.scores(self.new)])
+            get = self.model.lexicon.get
+            self.bits = np.concatenate([self.bits, np.array([-1 if any(c.isdigit() for c in w) else get(w, 0) for w in self.new], np.int16)])
             self.new = []
-        return self.matrix[np.concatenate(rows) if rows else np.empty(0, np.int64)], np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+        flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.known = self.bits[flat]
+        return self.matrix[flat], np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
+
 
+SWITCH = 12.0  # cost of a change of language
 
-def doubtful(scores: np.ndarray, offsets: np.ndarray, window: int = 8, margin: float = 6.0) -> np.ndarray:
-    """Documents in which some window of words prefers another language than the whole does."""
+
+def doubtful(scores: np.ndarray, offsets: np.ndarray, switch: float = SWITCH) -> np.ndarray:
+    """Documents whose best path may change its language: all others are sure to be one segment.
+
+    A path with k changes beats the best single language only if its at most k + 1 stretches
+    of other languages gain more than ``k * switch`` together, so one of them gains more than
+    ``switch / 2``. That is looked for among all stretches, as the largest rise of the running
+    sum of gains.
+    """
     n = offsets[1:] - offsets[:-1]
     sums = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(scores, axis=0, dtype=np.float64)])
     main = (sums[offsets[1:]] - sums[offsets[:-1]]).argmax(axis=1)
     owner = np.repeat(np.arange(len(n)), n)
-    start = np.arange(len(scores))
-    stop = np.minimum(start + window, offsets[1:][owner])
-    part = sums[stop] - sums[start]
-    against = part.max(axis=1) - part[start, main[owner]] > margin
-    return np.unique(owner[against])
+    if not len(owner):
+        return np.empty(0, np.int64)
+    gain = scores.astype(np.float64) - scores[np.arange(len(owner)), main[owner]][:, None]
+    run = np.concatenate([np.zeros((1, scores.shape[1])), np.cumsum(gain, axis=0)])
+    # least running sum so far in the same document: each document is set below all before it
+    step = 2 * (np.abs(run).max() + 1)
+    low = np.minimum.accumulate(run[:-1] - (owner * step)[:, None], axis=0) + (owner * step)[:, None]
+    return np.unique(owner[(run[1:] - low > switch / 2 - 1e-6).any(axis=1)])
 
 
-def paths(scores: np.ndarray, offsets: np.ndarray, docs: np.ndarray, switch: float = 12.0) -> list[np.ndarray]:
+def paths(scores: np.ndarray, offsets: np.ndarray, docs: np.ndarray, switch: float = SWITCH) -> list[np.ndarray]:
     """Most probable language of each word of the documents given, all documents in step."""
     n = (offsets[1:] - offsets[:-1])[docs]
     order = np.argsort(-n, kind="stable")
@@ -288,7 +320,7 @@ def paths(scores: np.ndarray, offsets: np.ndarray, docs: np.ndarray, switch: flo
 
 
 def segments_of(scorer: Scorer, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
-    """(document, [(first word, end word, language, confidence)]) of each document with words."""
+    """(document, [(first word, end word, language, confidence)]) of each document with words; language -1 for a stretch without support."""
     scores, offsets = scorer.batch(texts)
     unsure = doubtful(scores, offsets)
     routes = dict(zip(unsure.tolist(), paths(scores, offsets, unsure), strict=True))
@@ -305,15 +337,24 @@ def segments_of(scorer: Scorer, texts: list[str | None]) -> Iterator[tuple[int,
             total = sums[lo + b] - sums[lo + a]
             lang = int(routes[d][a]) if d in routes else int(total.argmax())
             found.append((a, b, lang, float(1 / np.exp(np.minimum(total - total[lang], 50)).sum())))
+        if len(found) > 1 and scorer.model.lexicon:
+            backed = []
+            for a, b, lang, _ in found:
+                bits = scorer.known[lo + a : lo + b]
+                words = bits >= 0
+                backed.append(bool((words & (bits >> lang & 1 > 0)).sum() >= SUPPORT * words.sum() and words.any()))
+            if any(backed):
+                found = [x if ok else (x[0], x[1], -1, 0.0) for x, ok in zip(found, backed)]
         yield d, found
 
 
 def fit(labelled: DataFrame, per_lang: int = 300, vocabulary: str = DEFAULT) -> Model:
     """Model from at most ``per_lang`` whole rows a language of ``labelled`` (text, code), collected to the driver."""
     good = labelled.where("code IS NOT NULL AND text IS NOT NULL").select("code", "text", F.xxhash64("text").alias("h"))
-    total = max(1, labelled.count())
-    rate = min(1.0, 8 * per_lang * len(LANGS) / total)
-    few = good.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(rate * (1 << 20))))
+    # of each language about 8 * per_lang rows by hash, whatever its share of the table; all where there are no more
+    found = {r.code: r.m for r in good.groupBy("code").agg(F.count("*").alias("m")).collect()}
+    least = F.element_at(F.create_map(*[F.lit(x) for code, m in found.items() for x in (code, min(1 << 40, (8 * per_lang << 40) // m))]), F.col("code")) if found else F.lit(0)
+    few = good.where(F.pmod("h", F.lit(1 << 40)) < least)
     rows = few.withColumn("k", F.row_number().over(W.partitionBy("code").orderBy("h", "text"))).where(F.col("k") <= per_lang).orderBy("code", "k").collect()
     raw = ranks_file(vocabulary)
     told = [(LANGS.index(r.code), WORD.findall(fold(r.text))) for r in rows]
@@ -329,8 +370,20 @@ def fit(labelled: DataFrame, per_lang: int = 300, vocabulary: str = DEFAULT) ->
     scores, offsets = first.batch([" ".join(found) for _, found in told])
     sums = np.concatenate([np.zeros((1, len(LANGS))), np.cumsum(scores, axis=0, dtype=np.float64)])
     main = (sums[offsets[1:]] - sums[offsets[:-1]]).argmax(axis=1)
-    mixed = set(doubtful(scores, offsets).tolist())
-    return Model(raw, counted([x for i, x in enumerate(told) if main[i] == x[0] and i not in mixed]))
+    unsure = doubtful(scores, offsets)
+    mixed = {int(d) for d, p in zip(unsure, paths(scores, offsets, unsure), strict=True) if len(set(p.tolist())) > 1}
+    kept = [x for i, x in enumerate(told) if main[i] == x[0] and i not in mixed]
+    rows_of: list[dict[str, int]] = [{} for _ in LANGS]
+    for lang, found in kept:
+        for w in set(found):
+            rows_of[lang][w] = rows_of[lang].get(w, 0) + 1
+    lexicon: dict[str, int] = {}
+    for lang, seen in enumerate(rows_of):
+        least = min(2, sum(1 for k, _ in kept if k == lang))
+        for w, m in seen.items():
+            if m >= least:
+                lexicon[w] = lexicon.get(w, 0) | 1 << lang
+    return Model(raw, counted(kept), lexicon=lexicon)
 
 
 def detect(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -348,10 +401,11 @@ def detect(docs: DataFrame, model: Model, id_col: str = "id", text_col: str = "t
                 size = np.zeros(len(LANGS))
                 trust = np.zeros(len(LANGS))
                 for a, b, lang, p in found:
-                    size[lang] += b - a
-                    trust[lang] += p * (b - a)
+                    if lang >= 0:
+                        size[lang] += b - a
+                        trust[lang] += p * (b - a)
                 main = int(size.argmax())
-                rows += [(ids[d], stored[d], s, a, b, LANGS[lang], p, n, LANGS[main], float(trust[main] / n)) for s, (a, b, lang, p) in enumerate(found)]
+                rows += [(ids[d], stored[d], s, a, b, LANGS[lang] if lang >= 0 else None, p, n, LANGS[main], float(trust[main] / n)) for s, (a, b, lang, p) in enumerate(found)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 10
             types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
@@ -364,6 +418,6 @@ def label_issues(docs: DataFrame, model: Model, min_words: int = 20, stretch: in
     rows = detect(docs, model, **cols).where(F.col("n_words") >= min_words)
     wrong = rows.where(F.col("seg") == 0).where(~F.col("main").eqNullSafe(label_code(F.col("stored")))).select("id", F.lit("label").alias("issue"), F.col("main").alias("lang"))
     # the first and later segments of a row leave the scan together: no shuffle but that of the few rows with long second stretches
-    long_ = rows.where((F.col("end_word") - F.col("first_word") >= stretch) & (F.col("n_words") > F.col("end_word") - F.col("first_word"))).select("id", "lang", F.xxhash64("id", "stored", "n_words").alias("row")).distinct()
+    long_ = rows.where(F.col("lang").isNotNull() & (F.col("end_word") - F.col("first_word") >= stretch) & (F.col("n_words") > F.col("end_word") - F.col("first_word"))).select("id", "lang", F.xxhash64("id", "stored", "n_words").alias("row")).distinct()
     mixed = long_.withColumn("langs", F.count("*").over(W.partitionBy("row"))).where("langs > 1").select("id", F.lit("mixed").alias("issue"), "lang")
     return wrong.union(mixed).distinct()

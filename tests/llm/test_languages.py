@@ -83,6 +83,46 @@ def test_paths_like_plain_viterbi():
         assert len(path) == n[d] and math.isclose(own, best.max())
 
 
+def test_codes_and_names_have_no_language(spark, model):
+    rng = random.Random(6)
+    code = " ".join("".join(rng.choices("bdfghjklmnpqrstvwxz", k=rng.randint(20, 60))) for _ in range(40))
+    rows = [("code", say(rng, "es", 40) + "\n" + code + "\n" + say(rng, "es", 30), "es"), ("digits", say(rng, "sv", 40) + " " + " ".join(f"a{k}b" for k in range(60)), "sv"), ("only", code, None)]
+    df = spark.createDataFrame(rows, "id string, text string, lang string")
+    assert {tuple(r) for r in L.label_issues(df, model).where("id <> 'only'").collect()} == set()
+    found = L.detect(df, model).collect()
+    assert {r.main for r in found if r.id == "code"} == {"es"} and all(r.main is not None for r in found)
+    assert all(r.confidence == 0 for r in found if r.lang is None)
+
+
+def test_only_documents_of_one_segment_are_not_doubtful():
+    """A stretch that is long and weak, or short and strong, is looked for; what is not doubtful has a path without change."""
+    rng = np.random.default_rng(3)
+    n = rng.integers(1, 60, 400)
+    offsets = np.concatenate([[0], np.cumsum(n)])
+    liked = np.concatenate([np.repeat(rng.integers(0, 3, k // 12 + 1), 12)[:k] if k % 3 else np.zeros(k, int) for k in n])
+    scores = -rng.random((offsets[-1], 3)).astype(np.float32) * np.where(np.arange(3)[None, :] == liked[:, None], 0.2, 3.0).astype(np.float32)
+    found = set(L.doubtful(scores, offsets).tolist())
+    split = {d for d, p in enumerate(L.paths(scores, offsets, np.arange(len(n)))) if len(set(p.tolist())) > 1}
+    assert split and split <= found and len(found) < len(n)
+    weak = np.zeros((400, 2), np.float32)
+    weak[:200, 1], weak[200:, 0] = -0.2, -0.12  # no eight words differ by 6
+    assert L.doubtful(weak, np.array([0, 400])).tolist() == [0] and len(set(L.paths(weak, np.array([0, 400]), np.array([0]))[0].tolist())) == 2
+
+
+def test_all_pieces_count():
+    pieces = L.Pieces(ranks_file())
+    assert pieces.longest > 12
+    lengths, found = pieces.lattice([b"a" * pieces.longest])
+    assert len(found) == pieces.longest
+
+
+def test_a_rare_language_is_fitted_from_all_its_rows(spark):
+    rng = random.Random(4)
+    rows = [(say(rng, "en", 30) + str(k), "en") for k in range(6000)] + [(say(rng, "sv", 30) + str(k), "sv") for k in range(6)]
+    m = L.fit(spark.createDataFrame(rows, "text string, code string"), per_lang=20)
+    assert m.scores(["kvarnen", "bröllopet"])[:, L.LANGS.index("sv")].tolist() == [0.0, 0.0]
+
+
 def test_empty(spark, model):
     empty = spark.createDataFrame([], "id string, text string, lang string")
     assert L.label_issues(empty, model).count() == 0
