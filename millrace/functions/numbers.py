@@ -83,3 +83,13 @@ def trend(delta: Column, flat: float = 0.0, up: str = "rising", down: str = "fal
 
 def lag_verdict(lag: Column, close: float = 0.05) -> Column:
     return F.when(F.abs(lag) < close, "matched").when(lag > 0, "ahead").otherwise("behind")
+
+
+def expectation(p: Column, values: Column) -> Column:
+    """Sum of the values times their probabilities."""
+    return F.aggregate(F.zip_with(p, values, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def mean_of(xs: Column) -> Column:
+    """Mean of an array, null if it is empty."""
+    return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda s, x: s + x), F.size(xs))

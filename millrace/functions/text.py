@@ -1,12 +1,17 @@
 """Column builders over text: normalising, tokens, n-grams, parsing and rendering.
 
-All of them are expressions of built-in functions; none is a Python UDF.
+All of them are expressions of built-in functions, but ``composed``, which goes through Arrow batches.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 LETTERS = [chr(65 + i) for i in range(14)]
 
@@ -31,6 +36,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(normalize(c), " "), lambda x: x != "")
 
 
+def tokens_sql(name: str) -> str:
+    """``tokens`` of a column as text of an expression, for those that are built as text."""
+    return rf"filter(split(trim(regexp_replace(regexp_replace(lower(`{name}`), r'[^\p{{L}}\p{{N}}_\s]', ' '), r'\s+', ' ')), ' '), x -> x <> '')"
+
+
 def token_count(c: Column) -> Column:
     return F.coalesce(F.size(tokens(c)), F.lit(0))
 
@@ -320,3 +330,60 @@ def clean_url(c: Column) -> Column:
     """Address without fragment and tracking parameters."""
     c = F.regexp_replace(F.regexp_replace(c, "#.*$", ""), r"(?i)([?&])(?:utm_[a-z]+|fbclid|gclid|ref)=[^&]*", "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&{2,}", "&"), r"\?&", "?"), r"[?&]+$", "")
+
+
+def template(pattern: str, fields: dict[str, Column]) -> Column:
+    """A template with named fields in braces; doubled braces stand for themselves, an unknown name raises."""
+    import string
+
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(pattern):
+        if literal:
+            parts.append(F.lit(literal))
+        if name is not None:
+            parts.append(fields[name].cast("string"))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def known_name(c: Column, names: dict[str, str]) -> Column:
+    """Name of a key: from the map, else the key in title case."""
+    pairs = [F.lit(x) for kv in names.items() for x in kv]
+    return F.coalesce(F.element_at(F.create_map(*pairs), c), F.initcap(c)) if pairs else F.initcap(c)
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Canonical composition (NFC)."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def route(c: Column, routes: dict[str, list[str]], other: str) -> Column:
+    """The route whose list holds the value."""
+    out = None
+    for name, values in routes.items():
+        out = F.when(c.isin(values), name) if out is None else out.when(c.isin(values), name)
+    return F.lit(other) if out is None else out.otherwise(other)
+
+
+def first_tag(c: Column, words: dict[str, list[str]], other: str) -> Column:
+    """First tag one of whose words stands in the text, in lower case."""
+    low, out = F.lower(c), None
+    for tag, held in words.items():
+        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in held])
+        out = F.when(hit, tag) if out is None else out.when(hit, tag)
+    return F.lit(other) if out is None else out.otherwise(other)
+
+
+def loss_spans(messages: Column) -> Column:
+    """[first, last) characters of the assistant turns in ``chat_text``: their content and the end mark, not their header."""
+    one = lambda m: F.length(chat_text(F.array(m)))
+    trained = lambda m: F.length(F.trim(m["content"])) + F.lit(len("<|eot_id|>"))
+    kind = "struct<at: int, spans: array<struct<first: int, last: int>>>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<first: int, last: int>>").alias("spans")).cast(kind)
+
+    def step(acc: Column, m: Column) -> Column:
+        end = acc["at"] + one(m)
+        span = F.array(F.struct((end - trained(m)).alias("first"), end.alias("last")))
+        return F.struct(end.alias("at"), F.when(m["role"] == "assistant", F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")).cast(kind)
+
+    return F.aggregate(messages, start, step, lambda acc: acc["spans"])

@@ -65,26 +65,25 @@ def delta_norm(before: DataFrame, after: DataFrame, keys: list[str], cell: list[
 def merge_diagnostics(start: DataFrame, forks: DataFrame, node: str, cell: list[str], value: str, group: list[str] | None = None) -> DataFrame:
     """(mean pairwise cosine, sign agreement, retained share of the update) of the forks' changes, per group.
 
-    Works on sums of squares and products per cell and pair of nodes; the merged
-    state is never built.
+    Pairs are never built: over all cells the square of the summed changes is the sum of
+    all squares and twice all products, and likewise for changes of unit length, whose
+    products are the cosines. A node without change has cosine 0 with all others.
     """
     by = group or []
     cell = [*by, *cell]
     delta = forks.join(start.withColumnRenamed(value, "_s"), cell).select(node, *cell, (F.col(value) - F.col("_s")).alias("d"))
     sq = delta.groupBy(*by, node).agg(F.sum(F.col("d") * F.col("d")).alias("sq"))
-    # nodes of a cell meet through the cell, so pairs are as many as nodes, not rows
-    l, r = delta.select(*cell, F.col(node).alias("i"), F.col("d").alias("di")), delta.select(*cell, F.col(node).alias("j"), F.col("d").alias("dj"))
-    dots = l.join(r, cell).where("i < j").groupBy(*by, "i", "j").agg(F.sum(F.col("di") * F.col("dj")).alias("dot"))
-    si, sj = sq.select(*by, F.col(node).alias("i"), F.col("sq").alias("qi")), sq.select(*by, F.col(node).alias("j"), F.col("sq").alias("qj"))
-    cos = F.when((F.col("qi") > 0) & (F.col("qj") > 0), F.col("dot") / F.sqrt(F.col("qi") * F.col("qj"))).otherwise(0.0)
-    pairs = dots.join(si, [*by, "i"]).join(sj, [*by, "j"]).groupBy(*by).agg(F.avg(cos).alias("cosine"), F.sum("dot").alias("dots"))
-    norms = sq.groupBy(*by).agg(F.sum("sq").alias("sum_sq"), F.avg(F.sqrt("sq")).alias("mean_norm"), F.count("*").alias("n"))
-    beside = lambda a, b: a.join(b, by, "left") if by else a.crossJoin(b)  # noqa: E731  # a group of one node has no pairs
-    signs = beside(delta.groupBy(*cell).agg(F.sum(F.signum("d")).alias("s")), norms.select(*by, "n")).groupBy(*by).agg(F.avg(F.abs(F.col("s")) / F.col("n")).alias("agreement"))
-    joined = beside(beside(norms, pairs), signs)  # one row a group each
-    mean_sq = F.greatest((F.col("sum_sq") + 2 * F.coalesce("dots", F.lit(0.0))) / (F.col("n") * F.col("n")), F.lit(0.0))
+    norms = sq.groupBy(*by).agg(F.avg(F.sqrt("sq")).alias("mean_norm"), F.count("*").alias("n"), F.count_if(F.col("sq") > 0).alias("moved"))
+    unit = F.when(F.col("sq") > 0, F.col("d") / F.sqrt("sq")).otherwise(0.0)
+    sums = delta.join(sq, [*by, node]).groupBy(*cell).agg(F.sum("d").alias("d"), F.sum(unit).alias("u"), F.abs(F.sum(F.signum("d"))).alias("s"))
+    whole = sums.groupBy(*by).agg(F.sum(F.col("d") * F.col("d")).alias("dd"), F.sum(F.col("u") * F.col("u")).alias("uu"), F.avg("s").alias("s"))
+    joined = norms.join(whole, by, "left") if by else norms.crossJoin(whole)  # one row a group each
+    pairs = F.col("n") * (F.col("n") - 1)
     return joined.select(
-        *by, F.coalesce("cosine", F.lit(0.0)).alias("mean_cosine"), F.coalesce("agreement", F.lit(0.0)).alias("sign_agreement"), F.when(F.col("mean_norm") > 0, F.sqrt(mean_sq) / F.col("mean_norm")).otherwise(0.0).alias("retained")
+        *by,
+        F.when(pairs > 0, (F.col("uu") - F.col("moved")) / pairs).otherwise(0.0).alias("mean_cosine"),
+        F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)).alias("sign_agreement"),
+        F.when(F.col("mean_norm") > 0, F.sqrt("dd") / F.col("n") / F.col("mean_norm")).otherwise(0.0).alias("retained"),
     )
 
 

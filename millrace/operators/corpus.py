@@ -36,12 +36,16 @@ def arm_documents(docs: DataFrame, arms: DataFrame) -> DataFrame:
     return d.join(a, ["_lang", "_domain"]).drop("_lang", "_domain")
 
 
+def _has_text(armed: DataFrame) -> Column:
+    return F.col("has_text") if "has_text" in armed.columns else X.present(F.col("text")).isNotNull()
+
+
 def violations(armed: DataFrame, key: str = "id") -> DataFrame:
     """(culture, arm, key, rule): each rule a document of an arm breaks."""
     rules = F.array(
         F.when(~F.coalesce(X.canonical_license(F.col("license")).isin(X.OPEN_LICENSES), F.lit(False)), "license"),
         F.when(~year_allowed(F.col("year"), F.col("min_year"), F.col("max_year")), "year"),
-        F.when(X.present(F.col("text")).isNull(), "text"),
+        F.when(~_has_text(armed), "text"),
     )
     return armed.select("culture", "arm", key, F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule"))
 
@@ -51,10 +55,10 @@ def control_report(armed: DataFrame, key: str = "id") -> DataFrame:
     license_ok = F.coalesce(X.canonical_license(F.col("license")).isin(X.OPEN_LICENSES), F.lit(False))
     return armed.groupBy("culture", "arm").agg(
         F.count("*").alias("docs"),
-        F.sum(X.token_count(F.col("text"))).alias("tokens"),
+        F.sum("n_tokens" if "n_tokens" in armed.columns else X.token_count(F.col("text"))).alias("tokens"),
         F.count_if(~license_ok).alias("bad_license"),
         F.count_if(~year_allowed(F.col("year"), F.col("min_year"), F.col("max_year"))).alias("bad_year"),
-        F.count_if(X.present(F.col("text")).isNull()).alias("no_text"),
+        F.count_if(~_has_text(armed)).alias("no_text"),
     )
 
 

@@ -88,3 +88,73 @@ def round_robin(df: DataFrame, stratum: str, order: list[Column], n: int) -> Dat
     """First ``n`` rows taking one of each stratum in turn."""
     ranked = df.withColumn("turn", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("turn") <= n)
     return ranked.orderBy("turn", stratum).limit(n)
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str, slice_: Column) -> DataFrame:
+    """Each left row with the value of the last right row of its key at or before its time (of several at one time, the largest), null if there is none.
+
+    The order is cut into slices of time (an expression over ``time``): the last value is
+    carried inside a slice by a window, and from slice to slice by one row a slice, so a
+    hot key is spread over as many tasks as it has slices.
+    """
+    rows = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(right.dtypes)[value]))
+    marks = right.groupBy(key, time).agg(F.max(value).alias("_v")).withColumn("_side", F.lit(0))
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_slice", slice_)
+    ends = both.groupBy(key, "_slice").agg(F.max_by(F.when(F.col("_side") == 0, F.col("_v")), F.when(F.col("_side") == 0, F.col(time))).alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(W.partitionBy(key).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.last("_v", ignorenulls=True).over(W.partitionBy(key, "_slice").orderBy(time, "_side").rowsBetween(W.unboundedPreceding, 0))
+    told = both.withColumn("_in", inside).join(ends.select(key, "_slice", carried.alias("_before")), [key, "_slice"])
+    return told.where("_side = 1").withColumn(value, F.coalesce("_in", "_before")).select(*left.columns, value)
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, lo: str, hi: str, width: int) -> DataFrame:
+    """Points with every interval [lo, hi] they lie in: both meet in bins of ``width`` by equality, so no pair outside a bin is looked at.
+
+    An interval has a row for each bin it reaches within the span of the points.
+    """
+    span = points.agg(F.min(point).alias("_a"), F.max(point).alias("_z"))  # one row
+    bins = intervals.crossJoin(span).where(F.col(lo) <= F.least(hi, "_z")).where(F.greatest(lo, "_a") <= F.least(hi, "_z"))
+    bins = bins.withColumn("_bin", F.explode(F.sequence(F.floor(F.greatest(lo, "_a") / width), F.floor(F.least(hi, "_z") / width)))).drop("_a", "_z")
+    return points.withColumn("_bin", F.floor(F.col(point) / width)).join(bins, "_bin").where(F.col(point).between(F.col(lo), F.col(hi))).drop("_bin")
+
+
+def lineage(nodes: DataFrame, parents: DataFrame, node: str, parent: str, most_rounds: int = 40) -> DataFrame:
+    """(node, root, depth) by pointer doubling: rounds grow with the logarithm of the longest line of parents; a circle raises."""
+    from millrace.session import checkpoint
+
+    state = checkpoint(nodes.join(parents, node, "left").select(node, F.coalesce(parent, node).alias("root"), F.col(parent).isNotNull().cast("long").alias("depth")))
+    seen = None
+    for _ in range(most_rounds):
+        total = state.agg(F.sum("depth")).first()[0]
+        if total == seen:
+            return state
+        seen = total
+        up = state.select(F.col(node).alias("root"), F.col("root").alias("_up"), F.col("depth").alias("_more"))
+        state = checkpoint(state.join(up, "root").select(node, F.col("_up").alias("root"), (F.col("depth") + F.col("_more")).alias("depth")))
+    raise RuntimeError("the parents go round in a circle")
+
+
+def replay_size(rows: int, fraction: float, pool: int) -> int:
+    """Rows to take from a pool so that they are ``fraction`` (0 to 0.95) of the mix; halves go to the even number."""
+    f = min(max(fraction, 0.0), 0.95)
+    return min(max(round(rows * f / (1 - f)), 1), pool)
+
+
+def share_of_each(df: DataFrame, key: str, order: str, tie: str, share: float) -> DataFrame:
+    """First ``share`` (rounded up) of the rows of each key in the order of a hexadecimal hash, ranked slice by slice of the order."""
+    sliced = df.withColumn("_s", F.substring(F.col(order), 1, 2))
+    counts = sliced.groupBy(key, "_s").agg(F.count("*").alias("_m"))
+    by = W.partitionBy(key)
+    before = F.coalesce(F.sum("_m").over(by.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = sliced.join(counts.select(key, "_s", before.alias("_before"), F.ceil(F.sum("_m").over(by) * share).alias("_k")).where("_before < _k"), [key, "_s"])
+    rank = F.row_number().over(W.partitionBy(key, "_s").orderBy(order, tie)) + F.col("_before")
+    return placed.withColumn("_r", rank).where("_r <= _k").select(*df.columns)
+
+
+def without_repeated_lines(df: DataFrame, key: str, text: str, least: int) -> DataFrame:
+    """(key, removed, text): texts without the lines that ``least`` or more keys have; blank lines stay."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("_i", "_line")).withColumn("_t", F.trim("_line"))
+    common = lines.where("_t <> ''").select(key, "_t").distinct().groupBy("_t").agg(F.count("*").alias("_df")).where(F.col("_df") >= least).select("_t", F.lit(True).alias("_drop"))
+    told = lines.join(common, "_t", "left")
+    kept = F.sort_array(F.collect_list(F.when(F.col("_drop").isNull(), F.struct("_i", "_line"))))
+    return told.groupBy(key).agg(F.count("_drop").alias("removed"), F.array_join(F.transform(kept, lambda x: x["_line"]), "\n").alias(text))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
@@ -81,3 +83,51 @@ def length_drift(docs: DataFrame, group: str, text: str) -> DataFrame:
     whole = docs.where(F.col(text).isNotNull()).agg(F.percentile(n, F.lit(0.5)).alias("m"), F.percentile(n, F.lit(0.9)).alias("q"))
     own = docs.where(F.col(text).isNotNull()).groupBy(group).agg(F.percentile(n, F.lit(0.5)).alias("median"), F.percentile(n, F.lit(0.9)).alias("p90"))
     return own.crossJoin(whole).select(group, "median", "p90", F.abs(F.try_divide(F.col("median"), F.col("m")) - 1).alias("median_drift"), F.abs(F.try_divide(F.col("p90"), F.col("q")) - 1).alias("p90_drift"))
+
+
+def across_draws(runs: DataFrame, draw: str, arm: str, metrics: list[str]) -> DataFrame:
+    """Mean over the seeds of each draw, then mean, deviation and band of each metric over the draws, per arm."""
+    per_draw = runs.groupBy(draw, arm).agg(*[mean0(F.col(m)).alias(m) for m in metrics])
+    aggs = [a for m in metrics for a in (F.avg(m).alias(f"{m}_mean"), std0(F.col(m)).alias(f"{m}_std"), F.min(m).alias(f"{m}_min"), F.max(m).alias(f"{m}_max"))]
+    return per_draw.groupBy(arm).agg(F.count("*").alias("draws"), *aggs)
+
+
+def resampled_verdict(runs: DataFrame, draw: str, arm: str, tried: str, base: str, shift: str, capability: str) -> DataFrame:
+    """(draws, effect, z, passed): the decision on the differences within draws; both arms must be in a draw."""
+    per_draw = runs.groupBy(draw, arm).agg(mean0(F.col(shift)).alias("s"), mean0(F.col(capability)).alias("c"))
+    pick = lambda a, c: F.max(F.when(F.col(arm) == a, F.col(c)))
+    d = per_draw.groupBy(draw).agg((pick(tried, "s") - pick(base, "s")).alias("d"), pick(tried, "s").alias("s"), (pick(base, "c") - pick(tried, "c")).alias("drop"))
+    a = d.agg(F.count("*").alias("draws"), mean0(F.col("d")).alias("effect"), std0(F.col("d")).alias("sd"), F.avg("s").alias("s"), F.avg("drop").alias("drop"))
+    z = zscore(F.col("effect"), F.col("sd"))
+    return a.select("draws", "effect", z.alias("z"), verdict(F.col("s"), F.col("effect"), z, F.col("drop"), F.lit(0.0)).alias("passed"))
+
+
+def token_draws(docs: DataFrame, key: str, group: str, size: str, draws: list[int], fraction: float) -> DataFrame:
+    """(draw, *columns): in each seeded draw the documents of a group, in hash order, up to ``fraction`` of its tokens; the one that crosses is in."""
+    from millrace.operators.relational import running_budget
+
+    if not 0 < fraction <= 1:
+        raise ValueError("fraction must lie in (0, 1]")
+    whole = docs.groupBy(group).agg((F.sum(size) * fraction).alias("_budget"))
+    each = docs.join(whole, group).withColumn("draw", F.explode(F.array(*map(F.lit, draws))))
+    each = each.withColumn("_order", F.concat(F.md5(F.concat_ws(":", F.col("draw"), F.col(key))), F.col(key))).withColumn("_key", F.concat_ws(":", F.col("draw"), F.col(group)))
+    return running_budget(each, "_key", size, "_order", F.col("_budget"), crossing=True).drop("_order", "_key", "_budget")
+
+
+def cached_draws(spark: SparkSession, folder: str, draws: list[int], compute: Callable[[int], DataFrame]) -> DataFrame:
+    """Results of each draw, computed only where the folder has none yet; a draw is written whole or not at all."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in draws:
+        path = f"{folder}/draw={d}"
+        if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")):
+            compute(d).write.mode("overwrite").parquet(path)
+    return spark.read.option("basePath", folder).parquet(*[f"{folder}/draw={d}" for d in draws])
+
+
+def fleiss_kappa(ratings: DataFrame, item: str, rating: str) -> DataFrame:
+    """(docs, observed, expected, kappa) of yes/no ratings by any number of raters; items with one rating say nothing."""
+    r = ratings.groupBy(item).agg(F.count("*").alias("n"), F.count_if(F.col(rating)).alias("k")).where("n > 1")
+    agree = (F.col("k") * F.col("k") + (F.col("n") - F.col("k")) * (F.col("n") - F.col("k")) - F.col("n")) / (F.col("n") * (F.col("n") - 1))
+    a = r.agg(F.count("*").alias("docs"), F.avg(agree).alias("observed"), F.try_divide(F.sum("k").cast("double"), F.sum("n")).alias("p"))
+    expected = F.col("p") * F.col("p") + (1 - F.col("p")) * (1 - F.col("p"))
+    return a.select("docs", "observed", expected.alias("expected"), F.try_divide(F.col("observed") - expected, 1 - expected).alias("kappa"))

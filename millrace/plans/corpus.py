@@ -9,7 +9,7 @@ from millrace.functions import text as X
 from millrace.operators import contamination as C
 from millrace.operators import corpus as O
 from millrace.plans.registry import norm_sql, query, tokens_sql
-from millrace.session import table
+from millrace.session import materialise, table, texts, work_folder
 
 _LICENSES = ", ".join(f"'{x}'" for x in X.OPEN_LICENSES)
 _ARMED = """SELECT a.culture, a.arm, a.min_year, a.max_year, g.id, g.batch_no, g.text, g.license, g.year FROM grounded g
@@ -18,8 +18,15 @@ _OPEN = f"coalesce(replace(lower(trim(license)), ' ', '-') IN ({_LICENSES}), fal
 _YEAR = "(year IS NULL OR (coalesce(year >= min_year, true) AND coalesce(year <= max_year, true)))"
 
 
+def _counted(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns the controls need, with tokens and presence of the text in its place: each text is read once and joined nowhere."""
+    g = texts(spark, sf, "grounded")
+    t = F.col("text")
+    return g.select("id", "batch_no", "license", "lang", "domain", "year", X.token_count(t).alias("n_tokens"), X.present(t).isNotNull().alias("has_text"))
+
+
 def _armed(spark: SparkSession, sf: str) -> DataFrame:
-    return O.arm_documents(table(spark, sf, "grounded"), table(spark, sf, "arm_manifest"))
+    return O.arm_documents(_counted(spark, sf), table(spark, sf, "arm_manifest"))
 
 
 @query(
@@ -46,7 +53,7 @@ def x09_violations(spark: SparkSession, sf: str) -> DataFrame:
     FROM g JOIN l USING (culture)"""
 )
 def x08_twin_report(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = _armed(spark, sf).groupBy("culture", "arm").agg(F.sum(X.token_count(F.col("text"))).alias("tokens"))
+    sizes = _armed(spark, sf).groupBy("culture", "arm").agg(F.sum("n_tokens").alias("tokens"))
     return O.twin_report(table(spark, sf, "arm_manifest"), sizes)
 
 
@@ -69,7 +76,7 @@ def row_p06_open_licenses(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT DISTINCT id FROM grounded WHERE sha1({norm_sql('text')}) IN (SELECT sha1({norm_sql('text')}) FROM eval_items)")
 def j06_exact_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.exact_leaks(table(spark, sf, "grounded").select("id", "text"), C.exact_index(table(spark, sf, "eval_items"))).select("id").distinct()
+    return C.exact_leaks(texts(spark, sf, "grounded").select("id", "text"), C.exact_index(table(spark, sf, "eval_items"))).select("id").distinct()
 
 
 _GRAMS = "list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))"
@@ -80,7 +87,7 @@ _GRAMS = "list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_
     SELECT id, count(DISTINCT gram) AS overlap FROM d JOIN e USING (gram) GROUP BY id"""
 )
 def j07_gram_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.gram_leaks(table(spark, sf, "grounded"), C.gram_index(table(spark, sf, "eval_items")), "id")
+    return C.gram_leaks(texts(spark, sf, "grounded"), C.gram_index(table(spark, sf, "eval_items")), "id")
 
 
 @query(
@@ -89,18 +96,18 @@ def j07_gram_leaks(spark: SparkSession, sf: str) -> DataFrame:
 )
 def x20_contamination_by_source(spark: SparkSession, sf: str) -> DataFrame:
     g = table(spark, sf, "grounded")
-    bad = C.flagged(g.select("id", "text"), table(spark, sf, "eval_items"), "id").select("id", F.lit(1).alias("bad"))
+    bad = C.flagged(texts(spark, sf, "grounded").select("id", "text"), table(spark, sf, "eval_items"), "id").select("id", F.lit(1).alias("bad"))
     return g.select("id", "source").distinct().join(bad, "id", "left").groupBy("source").agg(F.countDistinct("id").alias("ids"), F.countDistinct(F.when(F.col("bad") == 1, F.col("id"))).alias("flagged"))
 
 
 @query(f"SELECT DISTINCT g.id, e.item_id FROM (SELECT id, array_to_string({tokens_sql('text')}, ' ') AS dj FROM grounded) g JOIN (SELECT item_id, array_to_string({tokens_sql('text')}, ' ') AS pj FROM eval_items) e ON contains(g.dj, e.pj)")
 def j08_substring_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.substring_leaks(table(spark, sf, "grounded"), table(spark, sf, "eval_items"), "id", "item_id")
+    return C.substring_leaks(texts(spark, sf, "grounded"), table(spark, sf, "eval_items"), "id", "item_id")
 
 
 @query()
 def j09_window_leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return C.window_leaks(table(spark, sf, "grounded"), table(spark, sf, "eval_items"), "id", "item_id")
+    return C.window_leaks(texts(spark, sf, "grounded"), table(spark, sf, "eval_items"), "id", "item_id")
 
 
 @query(f"SELECT testset, count(*) AS n, count(DISTINCT sha1({norm_sql('text')})) AS distinct_texts FROM eval_items GROUP BY testset")

@@ -10,7 +10,7 @@ from millrace.functions import numbers as N
 from millrace.functions import text as X
 from millrace.operators import stats as S
 from millrace.plans.registry import query, tokens_sql
-from millrace.session import table
+from millrace.session import table, texts
 
 _R6 = ["mean", "std"]
 
@@ -175,7 +175,7 @@ def a36_length_drift(spark: SparkSession, sf: str) -> DataFrame:
     SELECT a.g AS a, b.g AS b, round(sum(a.w * b.w) / (any_value(x.norm) * any_value(y.norm)), 6) AS cosine FROM v a JOIN v b ON a.t = b.t AND a.g < b.g JOIN n x ON x.g = a.g JOIN n y ON y.g = b.g GROUP BY 1, 2"""
 )
 def a37_tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    c = S.tfidf_cosine(table(spark, sf, "documents").where("register IS NOT NULL"), "doc_id", "text", "register")
+    c = S.tfidf_cosine(texts(spark, sf, "documents").where("register IS NOT NULL"), "doc_id", "text", "register")
     return c.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 

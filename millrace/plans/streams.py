@@ -20,15 +20,11 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _ran(stream: DataFrame, spark: SparkSession, mode: str) -> DataFrame:
-    """Rows the stream leaves behind; in complete and update mode the last batch's."""
+def _ran(stream: DataFrame, spark: SparkSession, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows the stream leaves behind."""
     out = I.work_folder(spark, "stream")
-
-    def sink(batch: DataFrame, k: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
-
-    I.run_available(stream, sink, I.work_folder(spark, "progress"), mode)
-    return spark.read.schema(stream.schema).parquet(out)
+    I.run_available(stream, I.keep_batch(out), I.work_folder(spark, "progress"), mode)
+    return I.kept(spark, out, stream.schema, mode, keys)
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -56,18 +52,33 @@ def t10_last_write(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def t03_resume(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs of the same consumer over the same log: the second finds nothing new."""
-    out, progress = I.work_folder(spark, "answers"), I.work_folder(spark, "progress")
+    """Two runs of the same consumer, the second with its progress lost: what is in the output is not taken again."""
+    schema = table(spark, sf, "events").schema
+    folder = os.path.join(sf, "events.parquet")
+    log, glob = (folder, None) if os.path.isdir(folder) else (sf, "events.parquet")
+    out = I.work_folder(spark, "answers")
     for _ in range(2):
-        def sink(batch: DataFrame, k: int) -> None:
-            batch.select("event_id", "event_type").write.mode("append").parquet(out)
-
-        I.run_available(_stream(spark, sf, "events"), sink, progress)
+        I.consume(spark, log, schema, out, ["event_id"], lambda rows: rows.select("event_id", "event_type"), I.work_folder(spark, "progress"), glob=glob)
     return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) - k * INTERVAL '1 hour' AS start, event_type, value FROM events, (SELECT unnest([0, 1, 2]) AS k))
+    SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2"""
+)
+def t13_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of three hours, one beginning every hour."""
+    e = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    done = _ran(I.windowed_counts(e, "ts", "event_type", "3 hours", "1 hour"), spark, "complete")
+    return done.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """WITH r AS (SELECT user_id, value > 50 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), c AS (SELECT user_id, i, count(*) FILTER (ok) OVER w AS good, i - coalesce(max(i) FILTER (ok) OVER w, 0) AS bad FROM r WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    s AS (SELECT user_id, coalesce(min(i) FILTER (good >= 20 OR bad >= 8), max(i)) AS i FROM c GROUP BY user_id)
+    SELECT user_id, good AS filled, bad AS failures, CASE WHEN good >= 20 THEN 'filled' WHEN bad >= 8 THEN 'given up' ELSE 'open' END AS state FROM c JOIN s USING (user_id, i)"""
+)
 def t08_stateful_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Per user: successes up to 20, given up after 8 failures in a row."""
-    e = _stream(spark, sf, "events").select("user_id", (F.col("value") > 50).alias("ok"), F.col("event_id").alias("seq"))
-    return _ran(I.fill_to_target(e, "user_id", "ok", 20, 8), spark, "update")
+    e = _stream(spark, sf, "events").select("user_id", F.coalesce(F.col("value") > 50, F.lit(False)).alias("ok"), F.col("event_id").alias("seq"))
+    return _ran(I.fill_to_target(e, "user_id", "ok", 20, 8), spark, "update", ["user_id"])

@@ -107,9 +107,8 @@ MARKERS = ["the", "village", "đã", "của", "och"]
 MARKS = "åäöéèđăâêôơư"
 
 
-@query(rf"SELECT id, batch_no, (2 * len(regexp_extract_all(' ' || lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '  ', 'g')) || ' ', ' ({'|'.join(MARKERS)}) ')) + len(regexp_extract_all(lower(text), '[{MARKS}]')))::INT AS cues FROM grounded WHERE regexp_full_match(coalesce(text, ''), '[^\x{{0300}}-\x{{036F}}\x{{064B}}-\x{{065F}}]*')")
+@query(rf"SELECT id, batch_no, (2 * len(regexp_extract_all(' ' || lower(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '  ', 'g')) || ' ', ' ({'|'.join(MARKERS)}) ')) + len(regexp_extract_all(lower(text), '[{MARKS}]')))::INT AS cues FROM grounded")
 def f19_cue_score(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row; the SQL leaves out texts with combining marks, which the query has besides."""
     return table(spark, sf, "grounded").select("id", "batch_no", X.cue_score(F.col("text"), MARKERS, MARKS).alias("cues"))
 
 
@@ -129,16 +128,6 @@ def f23_head_tail(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(X.head_tail(F.col("text"), 128)).alias("trimmed"))
 
 
-@query(
-    f"""WITH t AS (SELECT doc_id, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)
-    SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= 65 THEN w ELSE list_concat(w[1:32], w[len(w) - 32:len(w)]) END, ' ')) AS digest, least(len(w), 65)::INT AS kept FROM t WHERE len(w) >= 64"""
-)
-def f24_token_window(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.words_of(F.col("text")).alias("w")).where(F.size("w") >= 64)
-    kept = t.select("doc_id", X.token_window(F.col("w"), F.lit(65)).alias("k"))
-    return kept.select("doc_id", F.md5(F.array_join("k", " ")).alias("digest"), F.size("k").alias("kept"))
-
-
 WINDOW, LEAST_WINDOW = 65, 64
 
 
@@ -146,7 +135,7 @@ WINDOW, LEAST_WINDOW = 65, 64
     f"""WITH t AS (SELECT doc_id, {words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, md5(array_to_string(CASE WHEN len(w) <= {WINDOW} THEN w ELSE list_concat(w[1:{WINDOW // 2}], w[len(w) - {WINDOW - WINDOW // 2 - 1}:len(w)]) END, ' ')) AS digest, least(len(w), {WINDOW})::INT AS kept FROM t WHERE len(w) <= {WINDOW} OR {WINDOW} >= {LEAST_WINDOW}"""
 )
-def f24_token_window_all(spark: SparkSession, sf: str) -> DataFrame:
+def f24_token_window(spark: SparkSession, sf: str) -> DataFrame:
     """Every text: one that fits is kept whole, a longer one is dropped only if the window is under the least."""
     t = table(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", X.words_of(F.col("text")).alias("w"))
     fits = t.where((F.size("w") <= WINDOW) | F.lit(WINDOW >= LEAST_WINDOW))
@@ -176,11 +165,10 @@ def f27_answer_letter(spark: SparkSession, sf: str) -> DataFrame:
     r"""SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '-?\d+'), lambda x: TRY_CAST(x AS INT)), lambda v: v BETWEEN 1 AND 10)[1] AS first_int,
     CASE WHEN len(regexp_extract_all(text, '\d+')) < 2 THEN NULL ELSE
       (SELECT CASE WHEN list_sort(list_distinct([a, b])) = [1, 3] THEN 1 WHEN list_sort(list_distinct([a, b])) = [2, 4] THEN 3 ELSE 2 END FROM (SELECT TRY_CAST(regexp_extract_all(text, '\d+')[1] AS BIGINT) AS a, TRY_CAST(regexp_extract_all(text, '\d+')[2] AS BIGINT) AS b)) END AS choices,
-    nullif(upper(regexp_extract(text, '(?i)^\s*\(?\**(?:option\s*)?([ABC])\b', 1)), '') AS letter
-    FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '\d{10}')"""
+    nullif(upper(regexp_extract(text, '(?i)^\s*\(?\**(?:option\s*)?([ABC])(?:$|[^\p{L}\p{N}_])', 1)), '') AS letter
+    FROM documents WHERE text IS NOT NULL"""
 )
 def f29_survey_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Every text; the SQL leaves out those with a run of 10 digits, which the query has besides."""
     rows = table(spark, sf, "documents").where(F.col("text").isNotNull())
     t = F.col("text")
     return rows.select("doc_id", survey.first_int(t, 1, 10).alias("first_int"), survey.two_choices(t).alias("choices"), survey.lead_letter(t).alias("letter"))
@@ -207,26 +195,11 @@ def f35_coerce_index(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.coerce_index(raw, 4).alias("answer_index"))
 
 
-@query("SELECT item_id, strlen(text)::INT AS n_bytes, ord(text[1])::INT AS first_code FROM eval_items WHERE lang = 'en'")
+@query("SELECT item_id, CASE WHEN text IS NOT NULL THEN strlen(text)::INT END AS n_bytes, CASE WHEN text IS NOT NULL THEN hex(encode(text)) END AS bytes FROM eval_items")
 def f37_byte_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    b = table(spark, sf, "eval_items").where("lang = 'en'").select("item_id", X.byte_tokens(F.col("text")).alias("b"))
-    return b.select("item_id", F.size("b").alias("n_bytes"), F.get("b", F.lit(0)).alias("first_code"))
-
-
-@query()
-def f37_byte_tokens_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Every item, whatever its language, with all its bytes."""
+    """Every item, whatever its language, with all its bytes (as hexadecimal digits)."""
     b = table(spark, sf, "eval_items").select("item_id", X.byte_tokens(F.col("text")).alias("b"))
-    return b.select("item_id", F.when(F.col("b").isNotNull(), F.size("b")).alias("n_bytes"), "b")
-
-
-@query(
-    f"""WITH t AS (SELECT lang, item_id, least(len({tokens_sql('text')}), 40)::INT AS n FROM eval_items), m AS (SELECT lang, max(n) AS w FROM t GROUP BY lang)
-    SELECT t.lang, count(*) AS rows, sum(m.w - 1)::BIGINT AS shifted_tokens, sum(m.w - t.n)::BIGINT AS pads FROM t JOIN m USING (lang) GROUP BY t.lang"""
-)
-def f38_pad_and_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Right-padded inputs and targets shifted by one, of the first 40 tokens; ``f38_pad_and_shift_all`` takes whole texts."""
-    return _padded(spark, sf, F.slice(X.tokens(F.col("text")), 1, 40))
+    return b.select("item_id", F.when(F.col("b").isNotNull(), F.size("b")).alias("n_bytes"), F.array_join(F.transform("b", lambda x: F.lpad(F.hex(x), 2, "0")), "").alias("bytes"))
 
 
 def _padded(spark: SparkSession, sf: str, tokens: Column) -> DataFrame:
@@ -242,7 +215,7 @@ def _padded(spark: SparkSession, sf: str, tokens: Column) -> DataFrame:
     f"""WITH t AS (SELECT lang, item_id, len({tokens_sql('text')})::INT AS n FROM eval_items), m AS (SELECT lang, max(n) AS w FROM t GROUP BY lang)
     SELECT t.lang, count(*) AS rows, sum(m.w - 1)::BIGINT AS shifted_tokens, sum(m.w - t.n)::BIGINT AS pads FROM t JOIN m USING (lang) GROUP BY t.lang"""
 )
-def f38_pad_and_shift_all(spark: SparkSession, sf: str) -> DataFrame:
+def f38_pad_and_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts, padded to the longest of their language."""
     return _padded(spark, sf, X.tokens(F.col("text")))
 

@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import contamination as C
+from millrace.operators import relational as J
 from millrace.operators import packing as P
 from millrace.operators import seams
 from millrace.operators.corpus import CorpusError
@@ -127,6 +129,56 @@ def test_stream_consumer_is_idempotent(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == list(range(15))
 
 
+def test_updates_of_several_batches_are_kept_by_key(spark, tmp_path):
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    rows = [("a", 1, True), ("a", 2, False), ("b", 3, False)], [("a", 5, True), ("a", 4, False), ("c", 6, True)]
+    for part in rows:
+        spark.createDataFrame(part, "user string, seq int, good boolean").coalesce(1).write.mode("append").parquet(log)
+    stream = spark.readStream.schema("user string, seq int, good boolean").option("maxFilesPerTrigger", 1).parquet(log)
+    filled = I.fill_to_target(stream, "user", "good", 2, 3)
+    I.run_available(filled, I.keep_batch(out), str(tmp_path / "ck"), "update")
+    got = {r.user: (r.filled, r.failures, r.state) for r in I.kept(spark, out, filled.schema, "update", ["user"]).collect()}
+    assert got == {"a": (2, 0, "filled"), "b": (0, 1, "open"), "c": (1, 0, "open")}
+    assert I.kept(spark, str(tmp_path / "none"), filled.schema).count() == 0
+
+
+def test_asof_interval_and_lineage(spark):
+    left = spark.createDataFrame([("a", 5, "p"), ("a", 0, "q"), ("b", 9, "r"), ("a", 25, "s")], "k string, t int, n string")
+    right = spark.createDataFrame([("a", 5, 1), ("a", 5, 3), ("a", 3, 7), ("b", 10, 2), ("a", 12, None)], "k string, t int, v int")
+    got = {r.n: r.v for r in J.asof_join(left, right, "k", "t", "v", F.floor(F.col("t") / 10)).collect()}
+    assert got == {"p": 3, "q": None, "r": None, "s": 3}
+    points = spark.createDataFrame([(k,) for k in (1, 10, 11, 30, -5)], "x long")
+    spans = spark.createDataFrame([("u", 10, 11), ("v", -(10**9), 10**9), ("w", 40, 50), ("z", 12, 2)], "s string, lo long, hi long")
+    assert {(r.x, r.s) for r in J.interval_join(points, spans, "x", "lo", "hi", 10).collect()} == {(10, "u"), (11, "u")} | {(x, "v") for x in (1, 10, 11, 30, -5)}
+    nodes = spark.range(64).withColumnRenamed("id", "n")
+    parents = nodes.where("n > 0").withColumn("p", F.col("n") - 1)
+    assert {(r.n, r.root, r.depth) for r in J.lineage(nodes, parents, "n", "p").collect()} == {(k, 0, k) for k in range(64)}
+
+
+def test_shared_folder_is_not_made_up_on_a_cluster():
+    from types import SimpleNamespace as O
+
+    from millrace.session import shared_dir
+
+    none = O(isDefined=lambda: False)
+    fake = O(conf=O(get=lambda k, d=None: d), sparkContext=O(_jsc=O(sc=lambda: O(getCheckpointDir=lambda: none)), master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake)
+
+
+def test_saved_index_and_short_items(spark, tmp_path):
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(["cat sat", "at", "q", "one two three", " ".join(f"w{i}" for i in range(20)), "", None])], "item int, text string")
+    docs = spark.createDataFrame([("a", "the concat satire"), ("b", "One, two; three!"), ("c", "x " + " ".join(f"w{i}" for i in range(15))), ("d", None), ("e", "queue")], "id string, text string")
+    got = {(r.id, r.item) for r in C.substring_leaks(docs, items, "id", "item").collect()}
+    assert got == {("a", 0), ("a", 1), ("b", 3), ("e", 2)}
+    C.save_index(items, str(tmp_path / "index"))
+    exact, grams, n = C.load_index(spark, str(tmp_path / "index"))
+    assert n == 13 and {(r.id, r.overlap) for r in C.gram_leaks(docs, grams, "id", n).collect()} == {("c", 3)}
+    assert {r.id for r in C.exact_leaks(docs, exact).collect()} == {"b"}
+    low = {(r.id, r.item) for r in C.window_leaks(docs, items, "id", "item", threshold=0.1).collect()}
+    assert ("b", 3) in low and ("c", 4) not in low  # a stretch needs as many words as the item
+
+
 def test_retry_until_done(spark):
     rows = spark.createDataFrame([(k, "error") for k in range(6)], "k int, status string")
     attempt = lambda open_, n: open_.withColumn("status", F.when(F.col("k") <= n, "ok").otherwise("error"))

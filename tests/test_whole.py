@@ -34,12 +34,12 @@ def test_delta_norms_of_every_round(spark, tmp_path):
                 now[1] += 1
             else:
                 now[0] = (now[0] or 0) + (a - b) ** 2
-    got = {(x.round_num, x.node, x.tensor): (x.norm, x.unmatched) for x in run(spark, tmp_path, "a22_delta_norm_all", "node_weights", weights(), WEIGHTS)}
+    got = {(x.round_num, x.node, x.tensor): (x.norm, x.unmatched) for x in run(spark, tmp_path, "a22_delta_norm", "node_weights", weights(), WEIGHTS)}
     assert got == {k: (s and round(math.sqrt(s), 6), u) for k, (s, u) in want.items()}
 
 
 def test_merge_diagnostics_of_every_round(spark, tmp_path):
-    got = {x.round_num: x for x in run(spark, tmp_path, "a23_merge_diagnostics_all", "node_weights", weights(), WEIGHTS)}
+    got = {x.round_num: x for x in run(spark, tmp_path, "a23_merge_diagnostics", "node_weights", weights(), WEIGHTS)}
     assert got.keys() == {2, 3, 4}
     cells = {(r, n, t, i): v for n, r, t, i, v, _ in weights()}
     for r, x in got.items():
@@ -84,14 +84,14 @@ def test_survey_numbers_of_long_runs_of_digits(spark, tmp_path):
 
 def test_byte_tokens_of_every_language(spark, tmp_path):
     rows = [(0, "en", "plain"), (1, "vi", "đã của"), (2, "ar", "\u0645\u064e"), (3, None, "😀 a\n"), (4, "sv", ""), (5, "sv", None)]
-    got = {x.item_id: (x.n_bytes, x.b) for x in run(spark, tmp_path, "f37_byte_tokens_all", "eval_items", rows, "item_id long, lang string, text string")}
-    assert got == {i: (None, None) if t is None else (len(t.encode()), list(t.encode())) for i, _, t in rows}
+    got = {x.item_id: (x.n_bytes, x.bytes) for x in run(spark, tmp_path, "f37_byte_tokens", "eval_items", rows, "item_id long, lang string, text string")}
+    assert got == {i: (None, None) if t is None else (len(t.encode()), t.encode().hex().upper()) for i, _, t in rows}
 
 
 def test_padding_to_the_longest_item(spark, tmp_path):
     lengths = [("en", 3), ("en", 55), ("en", 41), ("vi", 90), ("sv", 2), ("sv", 40)]
     rows = [(i, lang, " ".join(["ab"] * n)) for i, (lang, n) in enumerate(lengths)]
-    got = {x.lang: (x.rows, x.shifted_tokens, x.pads) for x in run(spark, tmp_path, "f38_pad_and_shift_all", "eval_items", rows, "item_id long, lang string, text string")}
+    got = {x.lang: (x.rows, x.shifted_tokens, x.pads) for x in run(spark, tmp_path, "f38_pad_and_shift", "eval_items", rows, "item_id long, lang string, text string")}
     of = {lang: [n for k, n in lengths if k == lang] for lang, _ in lengths}
     assert got == {lang: (len(ns), len(ns) * (max(ns) - 1), sum(max(ns) - n for n in ns)) for lang, ns in of.items()}
 
@@ -99,6 +99,6 @@ def test_padding_to_the_longest_item(spark, tmp_path):
 def test_texts_that_fit_the_window_are_kept(spark, tmp_path):
     sizes = [0, 1, 63, 64, 65, 66, 200]
     texts = [" ".join(f"w{k}" for k in range(n)) for n in sizes]
-    got = {x.doc_id: (x.digest, x.kept) for x in run(spark, tmp_path, "f24_token_window_all", "documents", list(enumerate(texts)), "doc_id long, text string")}
+    got = {x.doc_id: (x.digest, x.kept) for x in run(spark, tmp_path, "f24_token_window", "documents", list(enumerate(texts)), "doc_id long, text string")}
     cut = lambda w: w if len(w) <= 65 else w[:32] + w[-33:]
     assert got == {i: (hashlib.md5(" ".join(cut(t.split())).encode()).hexdigest(), min(n, 65)) for i, (n, t) in enumerate(zip(sizes, texts, strict=True))}
