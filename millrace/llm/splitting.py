@@ -97,12 +97,12 @@ def cuts(texts: DataFrame, limit: int, overlap: int) -> DataFrame:
     # two successive cuts always lie more than one step apart, so a text has at most 2n / step + 2 cuts
     while 2**k <= 2 * longest / step + 2:
         table = materialise(table)
-        jumped = reached.join(table.select("key", "pos", "nxt"), ["key", "pos"]).select("key", F.col("nxt").alias("pos"), "n")
+        jumped = reached.join(table.select("key", "pos", "nxt").hint("merge"), ["key", "pos"]).select("key", F.col("nxt").alias("pos"), "n")
         reached = reached.union(jumped)
         k += 1
         open_ = table.where(F.lit(2**k) <= 2 * F.col("n") / step + 2)
-        table = open_.alias("a").join(open_.select("key", F.col("pos").alias("nxt"), F.col("nxt").alias("then")), ["key", "nxt"]).select("key", "pos", F.col("then").alias("nxt"), "n")
-    return reached.join(marks.select("key", "pos", "forced"), ["key", "pos"])
+        table = open_.alias("a").join(open_.select("key", F.col("pos").alias("nxt"), F.col("nxt").alias("then")).hint("merge"), ["key", "nxt"]).select("key", "pos", F.col("then").alias("nxt"), "n")
+    return reached.join(marks.select("key", "pos", "forced").hint("merge"), ["key", "pos"])
 
 
 def pieces(docs: DataFrame, limit: int = 2000, overlap: int = 200, id_col: str = "id", text_col: str = "text") -> DataFrame:
