@@ -27,6 +27,19 @@ LINES = [(1.81, 0.38), (1.61, -0.01)]
 RANGES = {"a008": (1, 4), "a165": (1, 2), "e018": (1, 3), "e025": (1, 3), "f063": (1, 10), "f118": (1, 10), "f120": (1, 10), "g006": (1, 4), "y002": (1, 3), "y003": (-2, 2)}
 
 
+#: how answers are read (fixed values): numbers up to a highest one; phrases that stand for a score, beside the lettered options A, B, C for the scores 1, 2, 3
+HIGHEST = {"g006": 4, "a008": 4, "f063": 10, "f120": 10, "e018": 10, "f118": 10}
+PHRASES = {
+    "e025": [["have signed"], ["might do"], ["would never", "never under any"]],
+    "a165": [["can be trusted"], ["be very careful"]],
+}
+#: qualities of a child that add to the score of y003 if they are not named, and that take from it
+QUALITIES = (["Religious faith", "Obedience"], ["Independence", "Determination"])
+#: score of y002 for the two goals chosen; any other two give 2
+GOALS = {(1, 3): 1, (2, 4): 3}
+OPTION = r"(?i)^\s*\(?\**(?:option\s*)?([ABC])\b"
+
+
 def first_int(c: Column, lo: int, hi: int) -> Column:
     """First whole number of the text that lies in the range."""
     found = F.transform(F.regexp_extract_all(c, F.lit(r"-?\d+"), F.lit(0)), lambda x: x.try_cast("int"))
@@ -34,45 +47,43 @@ def first_int(c: Column, lo: int, hi: int) -> Column:
 
 
 def autonomy(c: Column) -> Column:
-    """(faith + obedience) - (independence + determination), each 1 if named and 2 if not."""
-    t = F.coalesce(c, F.lit(""))
-    named = lambda w: F.when(F.contains(t, F.lit(w)), 1).otherwise(2)
-    return named("Religious faith") + named("Obedience") - named("Independence") - named("Determination")
+    """Qualities of the first kind less those of the second, each 1 if named and 2 if not."""
+    t, total = F.coalesce(c, F.lit("")), F.lit(0)
+    for sign, names in zip((1, -1), QUALITIES, strict=True):
+        for name in names:
+            total = total + sign * (2 - F.contains(t, F.lit(name)).cast("int"))
+    return total
 
 
 def two_choices(c: Column) -> Column:
-    """1 for choices {1, 3}, 3 for {2, 4}, 2 otherwise; null with fewer than two numbers."""
+    """Score of the first two numbers as goals, in either order; null with fewer than two numbers."""
     found = F.regexp_extract_all(c, F.lit(r"\d+"), F.lit(0))
     pair = F.array_distinct(F.sort_array(F.transform(F.slice(found, 1, 2), lambda x: x.try_cast("int"))))
-    return F.when(F.size(found) < 2, None).when(pair == F.array(F.lit(1), F.lit(3)), 1).when(pair == F.array(F.lit(2), F.lit(4)), 3).otherwise(2)
+    scores = [F.when(pair == F.array(*map(F.lit, goals)), value) for goals, value in GOALS.items()]
+    return F.when(F.size(found) >= 2, F.coalesce(*scores, F.lit(2)))
 
 
 def lead_letter(c: Column) -> Column:
-    v = F.upper(F.regexp_extract(c, r"(?i)^\s*\(?\**(?:option\s*)?([ABC])\b", 1))
+    v = F.upper(F.regexp_extract(c, OPTION, 1))
     return F.when(v != "", v)
 
 
-def petition(c: Column) -> Column:
-    low, letter = F.lower(c), lead_letter(c)
-    has = lambda p: F.contains(low, F.lit(p))
-    return F.when((letter == "A") | has("have signed"), 1).when((letter == "B") | has("might do"), 2).when((letter == "C") | has("would never") | has("never under any"), 3)
-
-
-def trust(c: Column) -> Column:
+def by_phrase(item: str, c: Column) -> Column:
+    """First score whose letter leads the text or one of whose phrases stands in it."""
     low, letter = F.lower(c), lead_letter(c)
-    return F.when((letter == "A") | F.contains(low, F.lit("can be trusted")), 1).when((letter == "B") | F.contains(low, F.lit("be very careful")), 2)
+    scores = []
+    for k, phrases in enumerate(PHRASES[item]):
+        hit = F.coalesce(letter == "ABC"[k], F.lit(False))
+        for phrase in phrases:
+            hit = hit | F.contains(low, F.lit(phrase))
+        scores.append(F.when(hit, k + 1))
+    return F.coalesce(*scores)
 
 
 def score(item: Column, text: Column) -> Column:
     """Score of an answer text for an item; null where it cannot be read."""
-    return (
-        F.when(item.isin("g006", "a008"), first_int(text, 1, 4))
-        .when(item.isin("f063", "f120", "e018", "f118"), first_int(text, 1, 10))
-        .when(item == "y003", autonomy(text))
-        .when(item == "y002", two_choices(text))
-        .when(item == "e025", petition(text))
-        .when(item == "a165", trust(text))
-    )
+    readers = {"y003": autonomy(text), "y002": two_choices(text)} | {i: first_int(text, 1, hi) for i, hi in HIGHEST.items()} | {i: by_phrase(i, text) for i in PHRASES}
+    return F.coalesce(*[F.when(item == i, read) for i, read in readers.items()])
 
 
 def in_range(item: str, c: Column) -> Column:

@@ -11,6 +11,7 @@ from millrace.functions import text as X
 from millrace.operators import relational as R
 from millrace.operators import stats as S
 from millrace.plans.registry import query, tokens_sql
+from millrace.sources.extractors import EXTRACTORS
 from millrace.session import table, texts
 
 
@@ -326,3 +327,38 @@ def x19_pilot(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of each source, the same one on every run."""
     d = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id", F.md5(F.concat(F.lit("pilot:"), F.col("doc_id"))).alias("o"))
     return R.share_of_each(d, "source", "o", "doc_id", 0.1).select("source", "doc_id")
+
+
+_Q, _NL = "trim(text)", "chr(10) || chr(10)"
+_SOURCES_SQL = {
+    "gsm8k": ("true", _Q, "item_id::VARCHAR"),
+    "math": ("true", _Q, "item_id::VARCHAR"),
+    "metamathqa": ("item_id % 3 <> 0", _Q, "item_id::VARCHAR"),
+    "piqa": ("lang IS NOT NULL AND item_id % 3 < 2", f"{_Q} || {_NL} || 'A) go' || chr(10) || 'B) ' || lang", "CASE item_id % 3 WHEN 0 THEN 'A' ELSE 'B' END"),
+    "hellaswag": ("item_id % 5 < 4", f"'Complete the following:' || chr(10) || {_Q} || {_NL} || 'A) w' || chr(10) || 'B) x' || chr(10) || 'C) y' || chr(10) || 'D) z'", "chr((65 + item_id % 5)::INT)"),
+    "siqa": ("item_id % 4 < 3", f"testset || {_NL} || {_Q} || {_NL} || 'A) x' || chr(10) || 'B) y' || chr(10) || 'C) z'", "chr((65 + item_id % 4)::INT)"),
+    "asdiv": ("true", f"testset || {_NL} || {_Q}", "'12.5'"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS source, item_id, md5({q}) AS question, {gold} AS gold FROM eval_items WHERE text IS NOT NULL AND testset IS NOT NULL AND {ok}" for name, (ok, q, gold) in _SOURCES_SQL.items()))
+def row_p03_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions and golds of source tables of seven kinds, each made of the items; rows that break a source's guard are dropped."""
+    e = table(spark, sf, "eval_items").where("text IS NOT NULL AND testset IS NOT NULL")
+    i, text, number = F.col("item_id").alias("i"), F.trim("text"), F.col("item_id").cast("string")
+    label = lambda n, more=0: (F.col("item_id") % n + more).cast("string").alias("label")
+    some = lambda *xs: F.array(*map(F.lit, xs))
+    made = {
+        "gsm8k": e.select(i, text.alias("question"), F.concat(F.lit("so #### "), number).alias("answer")),
+        "math": e.select(i, text.alias("problem"), F.concat(F.lit("Level "), F.col("item_id") % 6).alias("level"), F.concat(F.lit("\\boxed{"), number, F.lit("}")).alias("solution")),
+        "metamathqa": e.select(i, text.alias("query"), F.element_at(some("MATH_x", "GSM_y", "GSM_MATH"), (F.col("item_id") % 3 + 1).cast("int")).alias("type"), F.concat(F.lit("The answer is: "), number).alias("response")),
+        "piqa": e.select(i, text.alias("goal"), F.lit("go").alias("sol1"), F.col("lang").alias("sol2"), label(3)),
+        "hellaswag": e.select(i, text.alias("context"), some("w", "x", "y", "z").alias("endings"), label(5)),
+        "siqa": e.select(i, F.col("testset").alias("context"), text.alias("question"), some("x", "y", "z").alias("answers"), label(4, 1)),
+        "asdiv": e.select(i, F.col("testset").alias("body"), text.alias("question"), F.lit("12.50").alias("result")),
+    }
+    out = None
+    for name, rows in made.items():
+        q = EXTRACTORS[name](rows).select(F.lit(name).alias("source"), F.col("i").alias("item_id"), F.md5("question").alias("question"), "gold")
+        out = q if out is None else out.union(q)
+    return out

@@ -185,7 +185,7 @@ def f30_survey_phrases(spark: SparkSession, sf: str) -> DataFrame:
     s = F.when(i == 0, "Religious faith, Obedience").when(i == 1, "Independence and Determination").when(i == 2, "Obedience; Independence").when(i == 3, "(B) might do").when(i == 4, "People can be trusted").otherwise(F.col("text"))
     t = table(spark, sf, "eval_items").select("item_id", s.alias("s"))
     c = F.col("s")
-    return t.select("item_id", survey.autonomy(c).alias("autonomy"), survey.petition(c).alias("petition"), survey.trust(c).alias("trust"))
+    return t.select("item_id", survey.autonomy(c).alias("autonomy"), survey.by_phrase("e025", c).alias("petition"), survey.by_phrase("a165", c).alias("trust"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 7 < 4 THEN (doc_id % 7)::INT END WHEN doc_id % 3 = 1 THEN CASE WHEN doc_id % 26 < 4 THEN (doc_id % 26)::INT END END AS answer_index FROM documents")
