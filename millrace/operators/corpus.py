@@ -89,8 +89,9 @@ def twin_report(arms: DataFrame, sizes: DataFrame, tolerance: float = 0.2) -> Da
 def balanced_lengths(sizes: dict[str, dict[str, int]], tolerance: float, least: int = 20, most: int = 1000) -> dict[str, dict[str, int]]:
     """Trim the longest document of the larger arm to nine tenths until the arms' sizes agree.
 
-    ``sizes`` maps two arms to {document: words}. Stops when the longest document has
-    at most ``least`` words.
+    ``sizes`` maps two arms to {document: words}, for corpora a driver holds (one culture's
+    pair of arms). Stops when the longest document has at most ``least`` words; raises if
+    ``most`` cuts do not do.
     """
     out = {arm: dict(docs) for arm, docs in sizes.items()}
     total = {arm: sum(docs.values()) for arm, docs in out.items()}
@@ -109,4 +110,6 @@ def balanced_lengths(sizes: dict[str, dict[str, int]], tolerance: float, least:
         heapq.heapreplace(heaps[arm], (-cut, doc))
         out[arm][doc] = cut
         total[arm] += cut - n
+    else:
+        raise CorpusError(f"arms not balanced after {most} cuts")
     return out

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+SALTS = 64
+SLICE_DIGITS = 3  # hexadecimal digits of an order that make a slice of it
+
+
 def pending(queue: DataFrame, done: DataFrame, keys: list[str], answered: str | None = None) -> DataFrame:
     """Queue rows whose key has no (non-empty) result yet."""
     if answered:
@@ -51,10 +55,31 @@ def zip_join(left: DataFrame, right: DataFrame, index: str) -> DataFrame:
 
 
 def quota(df: DataFrame, key: str, order: list[Column], k: Column | int) -> DataFrame:
-    """First ``k`` rows of each key in an order (rank limits are pushed below the shuffle)."""
+    """First ``k`` rows of each key in an order.
+
+    A number ``k`` is a limit Spark applies before the shuffle. A column is not, so a key's
+    rows are first ranked in ``SALTS`` parts, of which only the first ``k`` of each go on.
+    """
+    if isinstance(k, Column):
+        part = W.partitionBy(key, "_part").orderBy(*order)
+        salted = df.withColumn("_part", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).withColumn("_rn", F.row_number().over(part))
+        df = salted.where(F.col("_rn") <= k).drop("_part", "_rn")
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= k).drop("_rn")
 
 
+def row_index(df: DataFrame, keys: list[str], order: str, bucket: Column, name: str) -> DataFrame:
+    """``df`` with the place (from 0) of each row in the order of its key: counted by bucket of the order, ranked inside the bucket, so a hot key is spread over its buckets."""
+    placed = df.withColumn("_s", bucket)
+    counts = placed.groupBy(*keys, "_s").agg(F.count("*").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(W.partitionBy(*keys).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_s").alias("_t"), before.alias("_before"))
+    ranked = placed.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(order)) - 1)
+    same = F.col("_s") == F.col("_t")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return ranked.join(offsets, same).withColumn(name, F.col("_r") + F.col("_before")).select(*df.columns, name)
+
+
 def key_mismatch(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on one side only, with the side."""
     x, y = a.select(*keys).distinct(), b.select(*keys).distinct()
@@ -65,15 +90,15 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def running_budget(df: DataFrame, key: str, size: str, order: str, budget: Column, crossing: bool, slices: int = 256) -> DataFrame:
+def running_budget(df: DataFrame, key: str, size: str, order: str, budget: Column, crossing: bool) -> DataFrame:
     """Rows of each key, in the order of a hexadecimal hash, up to a budget of ``size``.
 
     ``crossing`` keeps the row that crosses the budget; without it a row is kept only
     if the budget still holds with it, and the first row always. Running sums are
-    taken per slice of the order (first two digits) and then inside the slice, so a
-    hot key is spread over ``slices`` tasks.
+    taken per slice of the order (its first digits) and then inside the slice, so a
+    hot key is spread over 16**SLICE_DIGITS tasks.
     """
-    sliced = df.withColumn("_s", F.substring(F.col(order), 1, 2)).withColumn("_b", budget)
+    sliced = df.withColumn("_s", F.substring(F.col(order), 1, SLICE_DIGITS)).withColumn("_b", budget)
     sums = sliced.groupBy(key, "_s").agg(F.sum(size).alias("_m"))
     before = F.coalesce(F.sum("_m").over(W.partitionBy(key).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = sliced.join(sums.select(key, "_s", before.alias("_before")), [key, "_s"])
@@ -142,7 +167,7 @@ def replay_size(rows: int, fraction: float, pool: int) -> int:
 
 def share_of_each(df: DataFrame, key: str, order: str, tie: str, share: float) -> DataFrame:
     """First ``share`` (rounded up) of the rows of each key in the order of a hexadecimal hash, ranked slice by slice of the order."""
-    sliced = df.withColumn("_s", F.substring(F.col(order), 1, 2))
+    sliced = df.withColumn("_s", F.substring(F.col(order), 1, SLICE_DIGITS))
     counts = sliced.groupBy(key, "_s").agg(F.count("*").alias("_m"))
     by = W.partitionBy(key)
     before = F.coalesce(F.sum("_m").over(by.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from millrace.functions import text as X
 from millrace.operators import contamination as C
 from millrace.operators import corpus as O
 from millrace.plans.registry import norm_sql, query, tokens_sql
-from millrace.session import materialise, table, texts, work_folder
+from millrace.session import table, texts, work_folder
 
 _LICENSES = ", ".join(f"'{x}'" for x in X.OPEN_LICENSES)
 _ARMED = """SELECT a.culture, a.arm, a.min_year, a.max_year, g.id, g.batch_no, g.text, g.license, g.year FROM grounded g
@@ -79,6 +81,25 @@ def j06_exact_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return C.exact_leaks(texts(spark, sf, "grounded").select("id", "text"), C.exact_index(table(spark, sf, "eval_items"))).select("id").distinct()
 
 
+@query(f"SELECT DISTINCT id FROM grounded WHERE batch_no > 5 AND sha1({norm_sql('text')}) IN (SELECT sha1({norm_sql('text')}) FROM grounded WHERE batch_no <= 5 AND text IS NOT NULL)")
+def j06_exact_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of later batches whose text, normalised, came with the batches up to 5."""
+    g = texts(spark, sf, "grounded").select("id", "batch_no", "text")
+    return C.exact_leaks(g.where("batch_no > 5"), C.exact_index(g.where("batch_no <= 5 AND text IS NOT NULL"))).select("id").distinct()
+
+
+@query(
+    f"""WITH e AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))) AS gram FROM (SELECT {tokens_sql('text')} AS w FROM eval_items)), d AS (SELECT id, unnest(list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))) AS gram FROM (SELECT id, {tokens_sql('text')} AS w FROM grounded WHERE text IS NOT NULL))
+    SELECT id, count(DISTINCT gram) AS overlap FROM d JOIN e USING (gram) GROUP BY id"""
+)
+def k06_saved_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The same n-gram leaks through an index that was kept in a folder and read again."""
+    folder = f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
+    C.save_index(table(spark, sf, "eval_items"), folder)
+    _, grams, n = C.load_index(spark, folder)
+    return C.gram_leaks(texts(spark, sf, "grounded"), grams, "id", n)
+
+
 _GRAMS = "list_transform(range(1, greatest(len(w) - 11, 1)), lambda i: array_to_string(w[i:i+12], ' '))"
 
 

@@ -45,12 +45,13 @@ def j01_split_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT row_number() OVER (ORDER BY q.item_id) - 1 AS pos, q.item_id, coalesce(a.lang, q.lang) AS lang FROM eval_items q JOIN (SELECT item_id + 1 AS item_id, lang FROM eval_items) a USING (item_id)"""
+    """SELECT q.pos, q.item_id, a.doc_id, coalesce(a.lang, q.lang) AS lang FROM (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pos, item_id, lang FROM eval_items) q JOIN (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, doc_id, lang FROM documents) a USING (pos)"""
 )
 def j11_zip_join(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "eval_items")
-    joined = R.zip_join(e.select("item_id", "lang"), e.select((F.col("item_id") + 1).alias("item_id"), "lang"), "item_id")
-    return joined.select((F.row_number().over(W.orderBy("item_id")) - 1).alias("pos"), "item_id", "lang")
+    """The n-th item beside the n-th document; the document's language wins where it has one."""
+    e, d = table(spark, sf, "eval_items").select("item_id", "lang"), table(spark, sf, "documents").select("doc_id", "lang")
+    left, right = R.row_index(e, [], "item_id", F.floor(F.col("item_id") / 100_000), "pos"), R.row_index(d, [], "doc_id", F.floor(F.col("doc_id") / 100_000), "pos")
+    return R.zip_join(left, right, "pos").select("pos", "item_id", "doc_id", "lang")
 
 
 @query("SELECT a.culture, a.arm, d.domain FROM arm_manifest a, (SELECT DISTINCT lower(trim(domain)) AS domain FROM documents WHERE trim(domain) <> '') d")
@@ -80,7 +81,7 @@ def w05_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx FROM documents")
 def w01_row_index(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("source", "doc_id", (F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1).alias("idx"))
+    return R.row_index(table(spark, sf, "documents").select("source", "doc_id"), ["source"], "doc_id", F.floor(F.col("doc_id") / 100_000), "idx")
 
 
 _SIZED = f"SELECT coalesce(lang, '?') AS lang, doc_id, coalesce(len({tokens_sql('text')}), 0) AS tok, sha256('7:' || coalesce(lang, '?') || ':' || doc_id) AS h FROM documents"
@@ -154,8 +155,8 @@ def l03_most_common(spark: SparkSession, sf: str) -> DataFrame:
 def l04_seeded_shuffle(spark: SparkSession, sf: str) -> DataFrame:
     """Seeded order of a union: range-sorted by hash, numbered by partition offsets."""
     u = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("k")).unionByName(table(spark, sf, "eval_items").select(F.concat(F.lit("e"), F.col("item_id")).alias("k")))
-    hashed = u.withColumn("h", X.seeded_order("42", F.col("k"))).withColumn("s", F.substring("h", 1, 2))
-    counts = hashed.groupBy("s").agg(F.count("*").alias("m"))  # at most 256 rows
+    hashed = u.withColumn("h", X.seeded_order("42", F.col("k"))).withColumn("s", F.substring("h", 1, R.SLICE_DIGITS))
+    counts = hashed.groupBy("s").agg(F.count("*").alias("m"))  # at most 16**SLICE_DIGITS rows
     before = F.coalesce(F.sum("m").over(W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     within = F.row_number().over(W.partitionBy("s").orderBy("h", "k"))
     return hashed.withColumn("r", within).join(counts.select("s", before.alias("before")), "s").select("k", (F.col("before") + F.col("r")).alias("place"))
@@ -181,8 +182,7 @@ def l07_twin_budget(spark: SparkSession, sf: str) -> DataFrame:
 )
 def l12_stratified(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").where("lang IS NOT NULL").select("lang", "doc_id")
-    n = d.groupBy("lang").agg(F.ceil(F.count("*") * 0.1).alias("k"))
-    return R.quota(d.join(n, "lang"), "lang", [X.seeded_order("9", F.col("doc_id"))], F.col("k")).select("lang", "doc_id")
+    return R.share_of_each(d.withColumn("h", X.seeded_order("9", F.col("doc_id"))), "lang", "h", "doc_id", 0.1).select("lang", "doc_id")
 
 
 @query(

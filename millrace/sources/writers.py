@@ -74,7 +74,8 @@ def manifest_json(docs: DataFrame, culture: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, columns: list[str], width: int = 80, rows: int = 200) -> str:
-    """A short report table (at most ``rows`` rows), long cells cut with an ellipsis."""
+    """A short report table: at most ``rows`` rows, and a last line if there are more; long cells cut with an ellipsis."""
     cell = lambda c: F.coalesce(F.when(F.length(F.col(c).cast("string")) > width, F.concat(F.substring(F.col(c).cast("string"), 1, width - 1), F.lit("…"))).otherwise(F.col(c).cast("string")), F.lit(""))
-    body = [" | ".join(v.replace("\n", " ").replace("|", "\\|") for v in r) for r in df.select(*[cell(c).alias(c) for c in columns]).limit(rows).collect()]
-    return "\n".join([" | ".join(columns), " | ".join(["---"] * len(columns)), *body])
+    body = [" | ".join(v.replace("\n", " ").replace("|", "\\|") for v in r) for r in df.select(*[cell(c).alias(c) for c in columns]).limit(rows + 1).collect()]
+    more = [f"(more than {rows} rows)"] if len(body) > rows else []
+    return "\n".join([" | ".join(columns), " | ".join(["---"] * len(columns)), *body[:rows], *more])

@@ -92,6 +92,9 @@ def test_packing_blocks(spark):
     got = P.pack_blocks(spark.createDataFrame(rows, "k int, ids array<int>, mask array<int>"), "k", "ids", "mask", 4, 0, 1).orderBy("block_no").collect()
     assert [r.input_ids for r in got] == [[1, 2, 3, 0], [4, 5, 6, 0], [0, 1, 2, 3]]
     assert got[0].labels == [-100, 2, 3, -100] and got[1].position_ids == [0, 1, 0, 0]
+    whole = P.pack_blocks(spark.createDataFrame(rows, "k int, ids array<int>, mask array<int>"), "k", "ids", "mask", 4, 0, 1, longer="split").collect()
+    assert sum(x != P.IGNORED for r in whole for x in r.labels) == 14  # of 15 tokens one is masked
+    assert tuple(P.cut_tokens(spark.createDataFrame(rows, "k int, ids array<int>, mask array<int>"), "ids", 4).first()) == (1, 5)
 
 
 class Stub:
