@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from millrace.functions import numbers as N
 from millrace.functions import text as X
+from millrace.operators import consortium as K
+from millrace.operators import corpus as O
 from millrace.operators import relational as R
 from millrace.operators import stats as S
 from millrace.plans.registry import query, tokens_sql
@@ -362,3 +364,114 @@ def row_p03_questions(spark: SparkSession, sf: str) -> DataFrame:
         q = EXTRACTORS[name](rows).select(F.lit(name).alias("source"), F.col("i").alias("item_id"), F.md5("question").alias("question"), "gold")
         out = q if out is None else out.union(q)
     return out
+
+
+_QUALITY = "SELECT node_id, round_num, max(CASE WHEN NOT isnan(quality) AND NOT isinf(quality) THEN quality END) AS q FROM contribution_scores GROUP BY 1, 2"
+
+
+def _quality(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "contribution_scores").groupBy("node_id", "round_num").agg(F.max(N.finite(F.col("quality"))).alias("q"))
+
+
+@query(
+    f"""WITH q AS ({_QUALITY}), o AS (SELECT round_num, count(*) FILTER (coalesce(q >= 0.7, false)) AS accepted, count(*) FILTER (NOT coalesce(q >= 0.7, false)) AS rejected, max(q) AS best FROM q GROUP BY round_num)
+    SELECT sum(accepted)::BIGINT AS accepted, sum(rejected)::BIGINT AS rejected, round(max(best), 6) AS best, max(round_num) AS last_round, arg_max(accepted, round_num) AS last_accepted, round(arg_max(best, round_num) - arg_min(best, round_num), 6) AS change FROM o"""
+)
+def a25_rounds_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """One row over all rounds: accepted and rejected nodes, the best quality, and how it changed from the first round to the last."""
+    ok = F.coalesce(F.col("q") >= 0.7, F.lit(False))
+    o = _quality(spark, sf).groupBy("round_num").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"), F.max("q").alias("best"))
+    return o.agg(
+        F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.round(F.max("best"), 6).alias("best"), F.max("round_num").alias("last_round"), F.max_by("accepted", "round_num").alias("last_accepted"),
+        F.round(F.max_by("best", "round_num") - F.min_by("best", "round_num"), 6).alias("change"),
+    )
+
+
+@query(
+    f"""WITH a AS (SELECT node_id, round_num, q FROM ({_QUALITY}) WHERE q >= 0.7), t AS (SELECT *, sum(q) OVER (PARTITION BY round_num) AS total, count(*) OVER (PARTITION BY round_num) AS n FROM a)
+    SELECT node_id, round_num, round(q / total, 6) AS by_score, round(1.0 / n, 6) AS equal FROM t"""
+)
+def x03b_both_policies(spark: SparkSession, sf: str) -> DataFrame:
+    """Weights of every round by score (no cap reached at 1) and equal, side by side."""
+    q = _quality(spark, sf)
+    weights = lambda name, equal: K.contribution_weights(q, ["round_num"], "node_id", "q", 0.7, 1.0, equal).withColumnRenamed("weight", name)
+    j = weights("by_score", False).join(weights("equal", True), ["round_num", "node_id"])
+    return j.select("node_id", "round_num", F.round("by_score", 6).alias("by_score"), F.round("equal", 6).alias("equal"))
+
+
+_OPEN = ", ".join(f"'{x}'" for x in X.OPEN_LICENSES)
+
+
+@query(
+    f"""WITH d AS (SELECT a.culture, a.arm, g.id, coalesce(len({tokens_sql('g.text')}), 0) AS n FROM grounded g JOIN (SELECT culture, arm, lower(trim(lang)) AS l, unnest(domains) AS d, min_year, max_year FROM arm_manifest) a ON lower(trim(g.lang)) = a.l AND lower(trim(g.domain)) = a.d
+      WHERE coalesce(replace(lower(trim(license)), ' ', '-') IN ({_OPEN}), false) AND (year IS NULL OR (coalesce(year >= min_year, true) AND coalesce(year <= max_year, true))) AND text IS NOT NULL AND trim(text) NOT IN ('', 'None')),
+    s AS (SELECT culture, arm, count(*) AS docs, sum(n) AS tokens FROM d GROUP BY 1, 2), m AS (SELECT m.culture, m.arm, coalesce(s.docs, 0) AS docs, coalesce(s.tokens, 0)::BIGINT AS tokens, coalesce(m.token_ratio_tolerance, 0.2) AS tol FROM arm_manifest m LEFT JOIN s USING (culture, arm))
+    SELECT a.culture, a.arm, a.docs, a.tokens, b.tokens AS partner_tokens, coalesce(abs(1 - a.tokens / nullif(b.tokens, 0)::DOUBLE) <= a.tol, false) AS matched FROM m a JOIN m b ON a.culture = b.culture AND a.arm <> b.arm"""
+)
+def x10_validated_load(spark: SparkSession, sf: str) -> DataFrame:
+    """What an arm loads once its own rules have been applied, beside its partner arm, and whether the two are of like size."""
+    t = F.col("text")
+    g = texts(spark, sf, "grounded").where(X.present(t).isNotNull()).select("id", "license", "lang", "domain", "year", X.token_count(t).alias("n"))
+    manifest = table(spark, sf, "arm_manifest")
+    armed = O.arm_documents(g, manifest).where(F.coalesce(X.canonical_license(F.col("license")).isin(X.OPEN_LICENSES), F.lit(False)) & O.year_allowed(F.col("year"), F.col("min_year"), F.col("max_year")))
+    sizes = armed.groupBy("culture", "arm").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    m = manifest.join(sizes, ["culture", "arm"], "left").select("culture", "arm", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("token_ratio_tolerance", F.lit(0.2)).alias("tol"))
+    partner = m.select("culture", F.col("arm").alias("other"), F.col("tokens").alias("partner_tokens"))
+    ratio = F.abs(1 - F.try_divide(F.col("tokens").cast("double"), F.col("partner_tokens")))
+    return m.join(partner, "culture").where("arm <> other").select("culture", "arm", "docs", "tokens", "partner_tokens", F.coalesce(ratio <= F.col("tol"), F.lit(False)).alias("matched"))
+
+
+@query(
+    r"""WITH o AS (SELECT item_id, axis, list_filter(regexp_split_to_array(text, ' ?[A-D]\) '), lambda x: x <> '') AS p FROM eval_items WHERE regexp_matches(text, ' A\) ')), l AS (SELECT item_id, axis, list_transform(p[2:], lambda x: -length(trim(x)) / 10.0::DOUBLE) AS l FROM o WHERE len(p) > 1),
+    e AS (SELECT item_id, axis, list_sum(list_transform(l, lambda x, i: exp(x - list_max(l)) * i)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS expected FROM l)
+    SELECT axis, count(*) AS items, round(avg(expected), 6) AS expected FROM e GROUP BY axis"""
+)
+def x13_administered_survey(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with options put to a stub model (an option's log probability falls with its length): mean expected option of each axis."""
+    parts = F.filter(F.split("text", r" ?[A-D]\) "), lambda x: x != "")
+    rows = table(spark, sf, "eval_items").where(F.col("text").rlike(r" A\) ")).select("item_id", "axis", parts.alias("p")).where(F.size("p") > 1)
+    logs = F.transform(F.slice("p", 2, 2**30), lambda x: -F.length(F.trim(x)).cast("double") / 10.0)
+    scored = rows.select("axis", logs.alias("l"))
+    places = F.transform(F.sequence(F.lit(1), F.size("l")), lambda i: i.cast("double"))
+    return scored.select("axis", N.expectation(N.softmax(F.col("l")), places).alias("e")).groupBy("axis").agg(F.count("*").alias("items"), F.round(F.avg("e"), 6).alias("expected"))
+
+
+@query(
+    """WITH n AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1), k AS (SELECT source, least(n.n, ceil(target_share * (SELECT count(*) FROM documents) * 0.5))::BIGINT AS k FROM mix_targets JOIN n USING (source)),
+    r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('3:' || doc_id)) AS rn FROM documents WHERE source IS NOT NULL) SELECT source, count(*) AS taken, min(doc_id) AS least FROM r JOIN k USING (source) WHERE rn <= k GROUP BY source"""
+)
+def x18_assembled(spark: SparkSession, sf: str) -> DataFrame:
+    """A mix of half as many documents as there are, each source by its share and no more than it has."""
+    d = table(spark, sf, "documents").where("source IS NOT NULL").select("source", "doc_id", X.seeded_order("3", F.col("doc_id")).alias("h"))
+    total = table(spark, sf, "documents").count()
+    counts = d.groupBy("source").agg(F.count("*").alias("n"))
+    k = table(spark, sf, "mix_targets").join(counts, "source").select("source", F.least("n", F.ceil(F.col("target_share") * total * 0.5)).alias("k"))
+    taken = R.quota(d.join(k, "source"), "source", [F.col("h")], F.col("k"))
+    return taken.groupBy("source").agg(F.count("*").alias("taken"), F.min("doc_id").alias("least"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, ceil(length(text) / 500.0)::BIGINT AS chunks FROM documents WHERE length(text) > 0")
+def t12_joined_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that arrive in chunks, in any order, put together again by their number."""
+    d = table(spark, sf, "documents").where(F.length("text") > 0).select("doc_id", "text")
+    chunks = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(500)), lambda i: F.substring(F.col("text"), i, F.lit(500)))).alias("i", "chunk"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "chunk"))), lambda x: x["chunk"]), "")
+    return chunks.groupBy("doc_id").agg(whole.alias("t"), F.count("*").alias("chunks")).select("doc_id", F.md5("t").alias("digest"), "chunks")
+
+
+@query("SELECT source, max_repeats FROM mix_targets WHERE source IS NOT NULL AND source LIKE '%notes%' AND target_share > 0")
+def row_p05_named_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered sources that have what a fetch needs, by a part of their name."""
+    return table(spark, sf, "mix_targets").where(F.col("source").isNotNull() & F.contains("source", F.lit("notes")) & (F.col("target_share") > 0)).select("source", "max_repeats")
+
+
+@query(
+    """WITH p AS (SELECT testset, lang, arg_max(text, (length(text), -item_id)) AS chosen, arg_min(text, (length(text), item_id)) AS rejected FROM eval_items WHERE text IS NOT NULL GROUP BY 1, 2)
+    SELECT testset, lang, length(chosen) > 1.5 * length(rejected) AND contains(lower(chosen), lower(substr(rejected, 1, 20))) AS only_longer FROM p"""
+)
+def row_p33_length_preferences(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs whose preferred text is longer by half and begins to repeat the other: a preference for length alone."""
+    n, i = F.length("text"), F.col("item_id")
+    p = table(spark, sf, "eval_items").where("text IS NOT NULL").groupBy("testset", "lang").agg(F.max_by("text", F.struct(n, -i)).alias("chosen"), F.min_by("text", F.struct(n, i)).alias("rejected"))
+    longer = F.length("chosen") > 1.5 * F.length("rejected")
+    return p.select("testset", "lang", (longer & F.contains(F.lower("chosen"), F.lower(F.substring("rejected", 1, 20)))).alias("only_longer"))
