@@ -15,6 +15,7 @@ from millrace.operators import stats as S
 from millrace.plans.registry import query, tokens_sql
 from millrace.sources.extractors import EXTRACTORS
 from millrace.session import table, texts
+from millrace.sources import projections as P
 
 
 @query(
@@ -475,3 +476,22 @@ def row_p33_length_preferences(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "eval_items").where("text IS NOT NULL").groupBy("testset", "lang").agg(F.max_by("text", F.struct(n, -i)).alias("chosen"), F.min_by("text", F.struct(n, i)).alias("rejected"))
     longer = F.length("chosen") > 1.5 * F.length("rejected")
     return p.select("testset", "lang", (longer & F.contains(F.lower("chosen"), F.lower(F.substring("rejected", 1, 20)))).alias("only_longer"))
+
+
+@query(
+    """WITH t AS (SELECT 'documents' AS source, doc_id::VARCHAR AS key, text FROM documents UNION ALL SELECT 'items', item_id::VARCHAR, concat_ws(chr(10), nullif(trim(testset), ''), text) FROM eval_items
+    UNION ALL SELECT 'choices', item_id::VARCHAR, text || chr(10) || 'yes' || chr(10) || coalesce(lang, '-') FROM eval_items UNION ALL SELECT 'chats', item_id::VARCHAR, concat_ws(chr(10), text, nullif(trim(axis), '')) FROM eval_items)
+    SELECT source, key, md5(trim(text)) AS digest FROM t WHERE trim(text) NOT IN ('', 'None')"""
+)
+def row_p02_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of four sources of different kinds, as their registry says."""
+    e = table(spark, sf, "eval_items")
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    sources = {
+        "documents": table(spark, sf, "documents"),
+        "items": e,
+        "choices": e.select("item_id", "text", F.array(F.lit("yes"), F.coalesce("lang", F.lit("-"))).alias("options")),
+        "chats": e.select("item_id", F.array(turn("user", "text"), turn("assistant", "axis")).alias("messages")),
+    }
+    registry = {"documents": ("doc_id", "plain", ["text"]), "items": ("item_id", "plain", ["testset", "text"]), "choices": ("item_id", "options", ["text", "options"]), "chats": ("item_id", "turns", ["messages"])}
+    return P.project_all(sources, registry).select("source", "key", F.md5(F.trim("text")).alias("digest"))
